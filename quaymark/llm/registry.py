@@ -1,13 +1,22 @@
 """The queries of this package and their SQL."""
 
-from . import exact_dedup, url_filter
+from . import ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
+    "op4_language": langid.op4_language,
+    "op5_lm_score": lm.op5_lm_score,
+    "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_ann": ann.op8_ann,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_quotation_chat": chat.op10_quotation_chat,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op10_quotation_chat": chat.ORACLE,
 }
