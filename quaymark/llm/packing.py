@@ -19,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,8 +33,10 @@ from .common import materialize, read_table
 
 LENGTH = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 400_000
+CACHE = 900_000
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+#: Token runs of printable ASCII; none crosses white space.
+_loaded_split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+").findall
 _loaded: dict[str, tuple] = {}
 
 
@@ -43,40 +46,61 @@ def _tokenizer(path: str) -> tuple:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
-        # no token crosses white space, and within a chunk none crosses these
-        word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        _loaded[path] = (Tokenizer.from_file(path), {}, {}, word.findall)
+        _loaded[path] = (Tokenizer.from_file(path), {}, {})
     return _loaded[path]
 
 
+def _parts(chunk: str) -> list[str]:
+    """A chunk between white spaces, cut where tokens end in any case; beyond printable
+    ASCII (the tokenizer composes characters there) only final points and commas go."""
+    if chunk.isascii() and chunk.isprintable():
+        return _loaded_split(chunk)
+    core = chunk.rstrip(".,")
+    return [core, chunk[len(core) :]] if len(core) < len(chunk) and core and core[-1].isalpha() else [chunk]
+
+
+def _encode_words(tokenizer, words: list[str]) -> list[bytes]:
+    """Ids of each word. Words of letters or ASCII parts are one token run each, so many are
+    encoded as one text and cut apart; others are encoded one by one."""
+    easy = [k for k, w in enumerate(words) if w.isascii() and w.isprintable() or w.isalpha() and w.lower().isalpha()]
+    out: list[bytes | None] = [None] * len(words)
+    if easy:
+        e = tokenizer.encode(" ".join([words[k] for k in easy]), add_special_tokens=False)
+        run = np.array(e.word_ids, np.int64)
+        if len(run) and run[-1] + 1 == len(easy):
+            raw = np.array(e.ids, "<u4").tobytes()
+            cuts = [0, *(4 * (np.flatnonzero(np.diff(run)) + 1)).tolist(), len(raw)]
+            for k, a, b in zip(easy, cuts[:-1], cuts[1:], strict=True):
+                out[k] = raw[a:b]
+    rest = [k for k, x in enumerate(out) if x is None]
+    for k, e in zip(rest, tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+        out[k] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def encode(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
     """Ids of each text as unsigned 32-bit little-endian bytes, the same as
     ``Tokenizer.encode(text, add_special_tokens=False).ids``. Chunks between white space
     are looked up; those not seen yet are split into words, and new words encoded."""
-    tokenizer, chunks, words, split = _tokenizer(path)
-    as_bytes = lambda e: np.asarray(e.ids, "<u4").tobytes()
+    tokenizer, chunks, words = _tokenizer(path)
     lists: list[list[bytes] | None] = []
     direct: dict[int, bytes] = {}
     for k, text in enumerate(texts):
         raw = text.encode("utf-8")
         if SPECIAL[0] in raw or SPECIAL[1] in raw:  # these are tokens of their own
-            direct[k] = as_bytes(tokenizer.encode(text, add_special_tokens=False))
+            direct[k] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             lists.append(None)
         else:
             lists.append(raw.lower().split())  # lower-cases ASCII; the tokenizer does the rest
     if len(chunks) > CACHE:
         chunks.clear()
-    if len(words) > CACHE:
         words.clear()
-    new = {c for x in lists if x for c in x if c not in chunks}
-    # chunks beyond printable ASCII go to the tokenizer whole, which composes their characters
-    parts = {c: split(t) if (t := c.decode()).isascii() and t.isprintable() else [t] for c in new}
+    new = set().union(*[x for x in lists if x]) - chunks.keys()
+    parts = {c: _parts(c.decode()) for c in new}
     fresh = list({w for p in parts.values() for w in p if w not in words})
-    for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        words[w] = as_bytes(e)
+    words.update(zip(fresh, _encode_words(tokenizer, fresh), strict=True))
     for c, p in parts.items():
         chunks[c] = b"".join(map(words.__getitem__, p))
     return [direct[k] if x is None else b"".join(map(chunks.__getitem__, x)) for k, x in enumerate(lists)]
