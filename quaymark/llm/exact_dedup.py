@@ -87,7 +87,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     then the smallest id (null last), then any one of rows that agree in both."""
     named = materialize(name_documents(docs, id_col, text_col, block, key_bits), "named")
     best = F.struct((-F.col("length")).alias("l"), F.col("id").isNull().alias("u"), F.col("id").alias("i"), F.col("row_id").alias("r"))
-    groups = named.groupBy("n_blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
+    # written, so that Spark can split a hot group in the join
+    groups = materialize(named.groupBy("n_blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         F.col("id").alias(id_col), F.col("best.i").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("best.r")).alias("kept"), "text_sha256", "raw_sha",
