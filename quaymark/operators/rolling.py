@@ -166,4 +166,4 @@ def rolling_sql(bars: str, columns: list[str], minimum: int = 60, digits: int =
     for layer in reversed(kept):
         if layer:
             inner = f"SELECT *, {', '.join(f'{frames(e)} AS {c}' for c, e in layer.items())} FROM ({inner})"
-    return f"SELECT instrument, bucket, {', '.join(f'round({c}, {digits}) AS {c}' for c in columns)} FROM ({inner}) WHERE bar >= {minimum}"
+    return f"SELECT instrument, bucket, {', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in columns)} FROM ({inner}) WHERE bar >= {minimum}"

@@ -51,7 +51,7 @@ def hours(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> list:
-    return [F.round(c, digits).alias(c) for c in columns]
+    return [(F.round(c, digits) + 0.0).alias(c) for c in columns]  # no negative zero
 
 
 def bars_sql(minutes: int = 60, steps: bool = False) -> str:
@@ -146,16 +146,17 @@ ROLLING = {
 }
 
 
-def _rolling(columns: list[str]) -> Query:
+def _rolling(columns: list[str], digits: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = G.rolling(B.with_steps(hours(spark, sf_dir), 60)).filter("full >= 60")
-        return out.select("instrument", "bucket", *rounded(out, columns))
+        return out.select("instrument", "bucket", *rounded(out, columns, digits))
 
     return run
 
 
 for _name, _columns in ROLLING.items():
-    query(_name, STEPS + G.rolling_sql("bars", _columns))(_rolling(_columns))
+    _digits = 2 if _name == "i55_eom" else 6  # its values are in the billions
+    query(_name, STEPS + G.rolling_sql("bars", _columns, digits=_digits))(_rolling(_columns, _digits))
 
 
 @query("i04_squeeze_threshold", STEPS + """, w AS (SELECT *, row_number() OVER s AS bar, 4 * stddev_pop(close) OVER (PARTITION BY instrument ORDER BY bucket ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
@@ -422,7 +423,7 @@ def walk_forward(spark, sf_dir):
 @query("m08_walk_forward_rules")
 def walk_forward_rules(spark, sf_dir):
     """The research report: rules chosen in each fold's fit window, measured in its test."""
-    t = rule_trades(spark, sf_dir).filter("valid AND label_end_ns IS NOT NULL")
+    t = rule_trades(spark, sf_dir).filter("valid AND label_end_ns IS NOT NULL").select("instrument", "rule", "cost", "entry_ns", "label_end_ns", "net_r").persist()
     w = T.walk_forward(t, 60)
     best = S.grid_search(w.filter("part = 'fit'"), 20, ("fold", "rule")).filter("eligible")
     top = best.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("objective"), "rule"))).filter("r = 1").select("fold", "rule")
