@@ -12,7 +12,8 @@ Rates then become whole copies. Within a source, documents are dealt into bucket
 (about ``BUCKET`` documents each, so a hot source becomes many groups); a bucket goes from
 the largest document to the smallest and gives each the number of copies that brings the
 words taken so far closest to the rate times the words seen so far. What is left over at
-the end is at most half the size of the smallest documents.
+the end is about half the size of the smallest documents; trades of single copies between
+two documents of the bucket then lower it further.
 
 Cases: null text has size 0 and copies that take 0 words; a null source is a source of its
 own, last in order; sources of size 0 have target 0; repeated rows are separate rows;
@@ -101,6 +102,32 @@ def round_copies(sizes: np.ndarray, rate: float, cap: int = int(CAP)) -> np.ndar
         n = int(min(cap, max(0, np.floor((rate * seen - taken) / size + 0.5)))) if size else int(min(cap, np.floor(rate + 0.5)))
         copies[k] = n
         taken += n * size
+    return repaired(sizes, copies, rate * float(sizes.sum()), cap)
+
+
+def repaired(sizes: np.ndarray, copies: np.ndarray, target: float, cap: int, steps: int = 16) -> np.ndarray:
+    """Change one document by a copy, or trade a copy between two, while that brings the
+    words taken closer to the target."""
+    for _ in range(steps):
+        short = target - float((sizes * copies).sum())
+        more, less = np.flatnonzero((copies < cap) & (sizes > 0)), np.flatnonzero((copies > 0) & (sizes > 0))
+        found = [(abs(short), (), ())]
+        for rows, sign in ((more, 1), (less, -1)):
+            if len(rows):
+                k = rows[np.abs(short - sign * sizes[rows]).argmin()]
+                found.append((abs(short - sign * sizes[k]), (k,) if sign > 0 else (), (k,) if sign < 0 else ()))
+        if len(more) and len(less):
+            order = less[np.argsort(sizes[less], kind="stable")]
+            at = np.clip(np.searchsorted(sizes[order], sizes[more] - short), 0, len(order) - 1)
+            for near in (at, np.maximum(at - 1, 0)):
+                left = np.abs(short - sizes[more] + sizes[order[near]])
+                k = int(left.argmin())
+                found.append((left[k], (more[k],), (order[near[k]],)))
+        best = min(found, key=lambda f: f[0])
+        if best[0] >= abs(short) - 1e-9:
+            break
+        copies[list(best[1])] += 1
+        copies[list(best[2])] -= 1
     return copies
 
 
