@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bars import with_steps
+from ..sources.tables import written
+from .bars import daily_levels, with_steps
 from .recursive import with_recursive
 from .rolling import frames, rolling
 
@@ -165,18 +166,17 @@ TWO_BAR_STOP = "nr7-breakout engulfing-reclaim fractal-breakout failed-breakout"
 
 def context(bars: DataFrame, minutes: int) -> DataFrame:
     """Every column the rules read, one row per bar with at least 60 bars of history."""
-    from .bars import daily_levels
-
     base = rolling(with_steps(bars, minutes))
     keep = [c for c in base.columns if not c.startswith("__")]
-    base = base.select(*keep)
+    base = written(base.select(*keep), "rolling")
     more = {f"p_{c}": F.expr(frames(f"lag({c}) {{}}")) for c in LAGGED}
     more |= {f"b{c[0]}": F.expr(frames(f"lag({c}, 2) {{}}")) for c in ("open", "high", "low", "close")}
     base = base.withColumns(more)
     levels = daily_levels(bars, minutes).select("instrument", "bucket", "previous_day_high", "previous_day_low", "opening_high", "opening_low")
     rec = with_recursive(bars)
     out = base.join(levels, ["instrument", "bucket"]).join(rec, ["instrument", "bucket"])
-    return out.filter("full >= 60").withColumn("trend", F.expr("abs(ema21 - ema50) / greatest(atr, 1e-9)"))
+    # written: dozens of rules read these columns, and planning them anew for each is slow
+    return written(out.filter("full >= 60").withColumn("trend", F.expr("abs(ema21 - ema50) / greatest(atr, 1e-9)")), "context")
 
 
 def _all(checks: tuple[str, ...]) -> Column:
@@ -234,11 +234,13 @@ def reward(rule: Rule) -> float:
 def signals(ctx: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row per bar and rule that fires: side, entry, stop, target, score. All rules
     are columns of one projection, unpivoted by a generator: no join with the catalogue."""
+    chosen = rules or RULES
+    ctx = ctx.withColumns({f"__side{k}": side(rule) for k, rule in enumerate(chosen)})
     entries = []
-    for k, rule in enumerate(rules or RULES):
-        way = side(rule)
+    for k, rule in enumerate(chosen):
+        way = F.col(f"__side{k}")
         entries.append(F.when(way != 0, F.struct(
-            F.lit(rule.id).alias("rule"), F.lit(k).alias("rank"), F.lit(rule.family).alias("family"), way.alias("way"), stop(rule, way).alias("stop"), F.lit(reward(rule)).alias("rr"), score(rule).alias("score"))))
+            F.lit(rule.id).alias("rule"), F.lit(k).alias("rank"), F.lit(rule.family).alias("family"), way.alias("way"), stop(rule, way).alias("stop"), F.lit(reward(rule)).alias("rr"), F.lit(100).alias("score"))))  # all checks hold
     fired = ctx.withColumn("s", F.explode(F.array_compact(F.array(*entries))))
     target = F.col("close") + F.col("s.way") * F.abs(F.col("close") - F.col("s.stop")) * F.col("s.rr")
     return fired.select("instrument", "bucket", "close", "atr", "s.*", target.alias("target")).withColumnRenamed("close", "entry")
@@ -253,7 +255,7 @@ ROUTE = (
 
 
 def route(ctx: DataFrame) -> DataFrame:
-    """The one rule of each bar: the first of ``ROUTE`` that fires (a 55-bar channel needs
+    """The one rule of each bar (see ``score`` for how near the others are): the first of ``ROUTE`` that fires (a 55-bar channel needs
     ADX 25, a squeeze 0.9 of the threshold), then the established trend rules, then any
     catalogue rule that fires, else a context rule that holds."""
     by_id = {r.id: r for r in RULES}

@@ -19,6 +19,7 @@ from ..operators import rolling as G
 from ..operators import rules as K
 from ..operators import stats as S
 from ..operators import trades as T
+from ..sources.tables import shared_folder, written
 from ..streaming import live as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,6 +281,15 @@ def signals(spark, sf_dir):
     return s.select("instrument", "bucket", "rule", "family", F.when(F.col("way") == 1, "BUY").otherwise("SELL").alias("side"), "score", *rounded(s, ["entry", "stop", "target"]))
 
 
+@query("k01_readiness")
+def readiness(spark, sf_dir):
+    """How near each bar is to the rules that have not fired: the best score below 100."""
+    ctx = K.context(hours(spark, sf_dir), 60)
+    scores = F.array_sort(F.array(*[F.struct((-K.score(r)).alias("score"), F.lit(r.id).alias("rule")) for r in K.RULES]))
+    best = F.element_at(F.filter(scores, lambda s: s["score"] > -100), 1)
+    return ctx.select("instrument", "bucket", best["rule"].alias("rule"), (-best["score"]).alias("score"))
+
+
 @query("k03_router")
 def router(spark, sf_dir):
     return K.route(K.context(hours(spark, sf_dir), 60))
@@ -415,7 +425,7 @@ def purged(spark, sf_dir):
 
 @query("q06_walk_forward")
 def walk_forward(spark, sf_dir):
-    w = T.walk_forward(bracket_trades(spark, sf_dir).filter("label_end_ns IS NOT NULL"), 60)
+    w = T.walk_forward(written(bracket_trades(spark, sf_dir).filter("label_end_ns IS NOT NULL"), "trades"), 60)
     m = M.trade_metrics(w, "fold", "part", "rule", "cost")
     return m.select("fold", "part", "rule", "cost", "n", *rounded(m, ["expectancy", "drawdown"]))
 
@@ -423,7 +433,8 @@ def walk_forward(spark, sf_dir):
 @query("m08_walk_forward_rules")
 def walk_forward_rules(spark, sf_dir):
     """The research report: rules chosen in each fold's fit window, measured in its test."""
-    t = rule_trades(spark, sf_dir).filter("valid AND label_end_ns IS NOT NULL").select("instrument", "rule", "cost", "entry_ns", "label_end_ns", "net_r").persist()
+    t = rule_trades(spark, sf_dir).filter("valid AND label_end_ns IS NOT NULL").select("instrument", "rule", "cost", "entry_ns", "label_end_ns", "net_r")
+    t = written(t, "trades")
     w = T.walk_forward(t, 60)
     best = S.grid_search(w.filter("part = 'fit'"), 20, ("fold", "rule")).filter("eligible")
     top = best.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("objective"), "rule"))).filter("r = 1").select("fold", "rule")
@@ -718,13 +729,7 @@ def stream_bars(spark, sf_dir):
     """Events as a file stream, bars as they close: the same rows as the batch query."""
     s = L.stream_table(spark, sf_dir, "events", L.TICKS)
     s = s.select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("sequence"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
-    return L.run_to_table(L.stream_ohlc(s, 60), shared(spark))
-
-
-def shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quaymark-stream-")
+    return L.run_to_table(L.stream_ohlc(s, 60), shared_folder(spark))
 
 
 @query("r05_ordered_trades", """WITH t AS (SELECT event_type AS instrument, event_id AS sequence, event_id * 7919 % 1000003 AS trade_id, epoch_us(ts) * 1000 AS ns FROM events),
