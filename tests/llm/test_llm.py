@@ -127,6 +127,24 @@ def test_near_dedup_divides_large_buckets_without_losing_links(spark, monkeypatc
     assert pairs == {frozenset((k,)) for k in range(20)}
 
 
+@pytest.mark.parametrize("small", [2, 128])
+def test_near_dedup_links_copies_through_a_text_that_matches_them_all(spark, small):
+    hub = [f"h{k}" for k in range(100)]
+    rows = [(0, " ".join(hub), "s")]
+    for k in range(1, 49):  # notes at different places are 24 edits apart, two more than a match allows
+        at = k % 8 * 12 + 6
+        rows.append((k, " ".join(hub[:at] + [f"n{k}.{j}" for j in range(12)] + hub[at:]), "s"))
+    rows.append((49, " ".join(f"z{k}" for k in range(100)), "s"))
+    nodes = near_dedup.sketched(texts(spark, rows), "doc_id", "text", 5, 24, 2)
+    found = near_dedup.links(texts(spark, rows), nodes.select("node", "n", "sketch"), "text", 0.8, small=small)
+    edges = found[0]
+    for f in found[1:]:
+        edges = edges.unionByName(f)
+    ids = {bytes(r["node"]): r["id"] for r in nodes.collect()}
+    labels = {ids[bytes(r["node"])]: bytes(r["label"]) for r in near_dedup.classes(edges).collect()}
+    assert set(labels) == set(range(49)) and len(set(labels.values())) == 1
+
+
 def test_near_dedup_edges(spark):
     out = near_dedup.near_dedup(texts(spark, edge_rows())).collect()
     assert len(out) == len(edge_rows())
