@@ -145,6 +145,29 @@ def test_near_dedup_links_copies_through_a_text_that_matches_them_all(spark, sma
     assert set(labels) == set(range(49)) and len(set(labels.values())) == 1
 
 
+def test_near_dedup_sketches_bring_similar_texts_together():
+    rng = np.random.default_rng(11)
+    for n, least in ((5, 1.0), (8, 1.0), (10, 1.0), (15, 1.0), (40, 1.0), (100, 0.97), (400, 0.97)):
+        met = 0
+        for _ in range(200):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            at = rng.choice(n, int(0.2 * n + 1e-9), replace=False)
+            b[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+            va, vb = (np.concatenate([near_dedup.sketch(near_dedup.labelled(w)), near_dedup.first_words(w) if n <= near_dedup.SHORT else []]) for w in (a, b))
+            met += bool(set(va.tolist()) & set(vb.tolist()))
+        assert met >= least * 200, n
+
+
+def test_near_dedup_finds_short_texts_with_a_word_changed_in_the_middle(spark):
+    rows = []
+    for g in range(30):
+        w = [f"g{g}w{k}" for k in range(5 + g % 6)]
+        rows += [(2 * g, " ".join(w), "s"), (2 * g + 1, " ".join(w[: len(w) // 2] + ["x"] + w[len(w) // 2 + 1 :]), "s")]
+    out = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(texts(spark, rows)).collect()}
+    assert out == {k: k // 2 * 2 for k in range(60)}
+
+
 def test_near_dedup_edges(spark):
     out = near_dedup.near_dedup(texts(spark, edge_rows())).collect()
     assert len(out) == len(edge_rows())
