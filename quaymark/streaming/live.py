@@ -18,9 +18,11 @@ from ..operators.bars import MINUTE, bucket
 TICKS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, schema: str, files: int = 1) -> DataFrame:
-    """A folder's Parquet table as a stream of ``files`` files a trigger."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", files).parquet(folder)
+def stream_table(spark: SparkSession, folder: str, name: str, schema: str, files: int | None = 1) -> DataFrame:
+    """A folder's Parquet table (one file, several, or a folder of files) as a stream of
+    ``files`` files a trigger; None: all there are."""
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(f"{folder}/{name}*.parquet")
 
 
 def stream_ohlc(ticks: DataFrame, minutes: int, late: str = "0 seconds") -> DataFrame:

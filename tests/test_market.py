@@ -1,6 +1,8 @@
 """Bars, indicators, rules, labels, statistics and streams against independent arithmetic."""
 
+import inspect
 import math
+import shutil
 import zipfile
 from decimal import Decimal
 
@@ -285,6 +287,25 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [r["sequence"] for r in got] == [r["sequence"] for r in want] and got
 
 
+@pytest.mark.parametrize("layout", ["files", "folder"])
+def test_stream_bars_do_not_depend_on_files(spark, tmp_path, layout):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    parts = str(tmp_path / "events.parquet")
+    events.withColumn("f", F.pmod(F.xxhash64("event_id"), F.lit(5))).repartition(5, "f").drop("f").write.parquet(parts)
+    if layout == "files":
+        for k, f in enumerate(sorted((tmp_path / "events.parquet").glob("part-*.parquet"))):
+            f.rename(tmp_path / f"events-{k}.parquet")
+        shutil.rmtree(parts)
+    got = entry.queries()["r01_stream_ohlc"](spark, str(tmp_path))
+    cols = ["instrument", "bucket", "open", "high", "low", "close", "volume", "trades"]
+    t = B.ticks_from_events(events)
+    newest = t.agg(F.max("ns")).first()[0] // 1_000_000 * 1_000_000
+    order = F.struct("ns", "sequence")
+    want = t.groupBy("instrument", (F.col("ns") - F.col("ns") % (60 * MIN)).alias("bucket")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("trades")).filter(F.col("bucket") + 60 * MIN <= newest)
+    rows = lambda d: sorted(tuple(r) for r in d.select(*cols).collect())
+    assert rows(got) == rows(want) and rows(want)
+
+
 def test_followed_signals(spark):
     s = spark.createDataFrame([("a", "x", 0, 100, "BUY", 9.0, 11.0), ("b", "x", 0, 50, "BUY", 1.0, 99.0), ("c", "x", 0, 10_000, "SELL", 99.0, 1.0)], "id string, symbol string, reference_ns long, horizon_ns long, side string, stop double, target double")
     q = spark.createDataFrame([("x", 10, 0, 10.0), ("x", 60, 1, 11.5), ("x", 70, 2, 8.0)], "symbol string, ns long, sequence long, price double")
