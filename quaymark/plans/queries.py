@@ -458,17 +458,17 @@ def m01(spark, sf_dir):
 
 @query("m02_block_bootstrap")
 def m02(spark, sf_dir):
-    return S.block_bootstrap(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"], reps=999)
+    return S.block_bootstrap(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"])
 
 
 @query("m03_moving_blocks")
 def m03(spark, sf_dir):
-    return S.moving_blocks(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"], reps=100)
+    return S.moving_blocks(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"])
 
 
 @query("m05_path_risk")
 def m05(spark, sf_dir):
-    return S.path_risk(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"], paths=100)
+    return S.path_risk(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"])
 
 
 @query("m06_holm", TRADES + """, p AS (SELECT instrument, rule, cost, (count(*) FILTER (WHERE net_r <= 0) + 1) / (count(*) + 1.0) / 10 AS p FROM trades WHERE net_r IS NOT NULL GROUP BY 1, 2, 3),
@@ -582,11 +582,11 @@ def race(spark, sf_dir):
     sample = v.filter("id % 4 <> 0").orderBy(F.xxhash64("id")).limit(2000).toPandas()
     if not len(sample):
         return spark.createDataFrame([], "model string, n long, brier double, log_loss double, accuracy double")
-    x, y = np.stack(sample["features"].to_numpy())[:, :16], sample["class"].to_numpy(int)
+    x, y = np.stack(sample["features"].to_numpy()), sample["class"].to_numpy(int)
     mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = np.clip((x - mean) / scale, -5, 5)
     fitted = {
-        "softmax": S.fit_softmax(z, y, CLASSES), "linear": S.fit_discriminant(z, y, CLASSES, 0.25, pooled=True), "quadratic": S.fit_discriminant(z, y, CLASSES, 0.5), "network": S.fit_network(z, y, CLASSES), "stumps": S.fit_stumps(z, y, CLASSES, 16),
+        "softmax": S.fit_softmax(z, y, CLASSES), "linear": S.fit_discriminant(z, y, CLASSES, 0.25, pooled=True), "quadratic": S.fit_discriminant(z, y, CLASSES, 0.5), "network": S.fit_network(z, y, CLASSES), "stumps": S.fit_stumps(z, y, CLASSES),
     }
 
     def scores(name, model, z):
@@ -605,7 +605,7 @@ def race(spark, sf_dir):
         for f in frames:
             if not len(f):
                 continue
-            z = np.clip((np.stack(f["features"].to_numpy())[:, :16] - mean) / scale, -5, 5)
+            z = np.clip((np.stack(f["features"].to_numpy()) - mean) / scale, -5, 5)
             for name, model in fitted.items():
                 s = scores(name, model, z)
                 p = np.exp(s - s.max(axis=1, keepdims=True))

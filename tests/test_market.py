@@ -19,6 +19,7 @@ from quaymark.operators import recursive as R
 from quaymark.operators import rules as K
 from quaymark.operators import stats as S
 from quaymark.operators import trades as T
+from quaymark.plans import queries as Q
 from quaymark.sources import imports as I
 from quaymark.streaming import live as L
 
@@ -313,6 +314,29 @@ def test_followed_signals(spark):
     assert got == {"a": ("target", 60), "b": ("expired", 50), "c": ("watching", None)}
 
 
+def test_registered_resampling_runs_as_often_as_its_operators(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(Q, "bracket_trades", lambda spark, sf_dir: None)
+    for name in ("block_bootstrap", "moving_blocks", "path_risk"):
+        def record(*a, _name=name, _of=inspect.signature(getattr(S, name)), **b):
+            call = _of.bind(*a, **b)
+            call.apply_defaults()
+            seen[_name] = call.arguments.get("reps", call.arguments.get("paths"))
+
+        monkeypatch.setattr(S, name, record)
+    for name in ("m02_block_bootstrap", "m03_moving_blocks", "m05_path_risk"):
+        entry.queries()[name](None, "")
+    assert seen == {"block_bootstrap": 4999, "moving_blocks": 400, "path_risk": 800}
+
+
+def test_classifier_race_uses_every_component(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(0, 1, 40)] + [float(4 * (k % 3 == c)) for c in range(3)], k % 3) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["model"]: r["accuracy"] for r in entry.queries()["m11_classifier_race"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and min(got.values()) > 0.9
+
+
 # -- the entry -----------------------------------------------------------------------------------
 
 
