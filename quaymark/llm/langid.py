@@ -20,6 +20,8 @@ answer is ``und``. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +34,12 @@ WINDOW = 400
 SAMPLE_CHARS = 20_000
 SEGMENT = 512
 BLOCK = 4096
-TABLE = 0x250  # code points with symbols of their own; beyond, a letter is unknown
+TABLE = 0x250  # code points in the table of symbols, or up to the largest letter of the samples
+DENSE = 94  # most frequent letters, whose transitions are a table; those of others are sorted keys
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions of the automaton of all pieces of ``symbols`` (state 0 is the empty
-    piece; -1: no such piece)."""
+def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all pieces of ``symbols`` (state 0 is the empty piece)."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -63,10 +65,21 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
+    return moves
+
+
+def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
+    """Those transitions as a table (-1: no such piece)."""
+    return _table(automaton_moves(symbols), alphabet)
+
+
+def _table(moves: list[dict[int, int]], alphabet: int) -> np.ndarray:
+    """The transitions by the symbols below ``alphabet``."""
     table = np.full((len(moves), alphabet), -1, np.int32)
     for state, row in enumerate(moves):
         for c, to in row.items():
-            table[state, c] = to
+            if c < alphabet:
+                table[state, c] = to
     return table
 
 
@@ -75,38 +88,60 @@ def code_points(text: str) -> np.ndarray:
 
 
 def build(samples: dict[str, str]) -> dict | None:
-    """The model: one table with the automata of all languages, one after the other."""
+    """The model: one table with the automata of all languages, one after the other, and the
+    transitions by rarer letters (many, in a script of thousands) as sorted keys."""
     samples = {k: v for k, v in sorted(samples.items()) if any(c.isalpha() for c in v)}
     if not samples:
         return None
-    letters = sorted({c for text in samples.values() for c in text.lower() if c.isalpha() and ord(c) < TABLE})
-    gap, width = 1, len(letters) + 2  # symbol 0 is a letter that no sample has
-    symbol = np.full(TABLE, gap, np.uint8 if width < 256 else np.uint16)
-    for cp in range(TABLE):
+    seen = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
+    letters = sorted(seen, key=lambda c: (-seen[c], c))
+    gap, every, width = 1, len(letters) + 2, min(len(letters), DENSE) + 2  # symbol 0 is a letter that no sample has
+    known = max(TABLE, max(map(ord, letters)) + 1)
+    symbol = np.full(known, gap, np.uint8 if every < 256 else np.uint16 if every < 65536 else np.uint32)
+    for cp in range(known):
         if chr(cp).isalpha():
             symbol[cp] = 0
     for k, c in enumerate(letters):
         symbol[ord(c)] = k + 2
     tables, roots, sizes, at = [], [], [], 0
+    rare: dict[int, int] = {}
     for text in samples.values():
-        table = suffix_automaton(_symbols(text, symbol).tolist(), width)
+        moves = automaton_moves(_symbols(text, symbol).tolist())
+        table = _table(moves, width)
         table[:, 0] = -1
         tables.append(np.where(table >= 0, (table + at) * width, -1))
+        rare |= {(state + at) * width * every + c: (to + at) * width for state, row in enumerate(moves) for c, to in row.items() if c >= width}
         roots.append(at * width)
         sizes.append(max(2, len(text)))
-        at += len(table)
+        at += len(moves)
     tables.append(np.full((1, width), -1))  # the state no piece continues: before a text, and after an unknown letter
-    moves = np.concatenate(tables).ravel().astype(np.int64 if (at + 1) * width > 2**31 - 1 else np.int32)
-    roots = np.array(roots, moves.dtype)
-    again = moves[roots[:, None] + np.arange(width)]
-    again = np.where(again < 0, at * width, again).astype(moves.dtype)
-    return {"languages": list(samples), "symbol": symbol, "moves": moves, "start": at * width, "again": again, "bits": np.log2(sizes)}
+    kind = np.int64 if (at + 1) * width > 2**31 - 1 else np.int32
+    keys = np.array(sorted(rare), np.int64)
+    model = {"languages": list(samples), "symbol": symbol, "moves": np.concatenate(tables).ravel().astype(kind), "start": at * width, "bits": np.log2(sizes)}
+    model |= {"width": width, "every": every, "keys": keys, "values": np.array([rare[k] for k in keys.tolist()], kind)}
+    again = _next(model, np.repeat(np.array(roots, kind)[:, None], every, axis=1), np.arange(every))
+    model["again"] = np.where(again < 0, at * width, again).astype(kind)
+    return model
+
+
+def _next(model: dict, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The states that the symbols ``c`` (one a column) lead to; -1: none."""
+    moves, width, keys = model["moves"], model["width"], model["keys"]
+    if not len(keys):
+        return moves[state + c]
+    far = np.flatnonzero(c >= width)
+    to = moves[state + np.where(c < width, c, 0)]
+    if len(far):
+        asked = state[:, far].astype(np.int64) * model["every"] + c[far].astype(np.int64)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        to[:, far] = np.where(keys[at] == asked, model["values"][at], -1)
+    return to
 
 
 def _symbols(text: str, symbol: np.ndarray) -> np.ndarray:
     cps = code_points(text)
-    out = symbol[np.minimum(cps, TABLE - 1)]
-    far = cps >= TABLE
+    out = symbol[np.minimum(cps, len(symbol) - 1)]
+    far = cps >= len(symbol)
     if far.any():
         chars = np.unique(cps[far])
         alpha = np.array([chr(c).isalpha() for c in chars.tolist()])
@@ -125,13 +160,13 @@ def phrases(model: dict, segments: list[np.ndarray]) -> np.ndarray:
     grid = np.zeros((int(sizes[0]), len(segments)), model["symbol"].dtype)
     for k, at in enumerate(order.tolist()):
         grid[: sizes[k], k] = segments[at]
-    moves, again = model["moves"], model["again"]
-    state = np.full((len(model["languages"]), len(segments)), model["start"], moves.dtype)
+    again = model["again"]
+    state = np.full((len(model["languages"]), len(segments)), model["start"], again.dtype)
     found = np.zeros(state.shape, np.int32)
     live = np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right")
     for t, n in enumerate(live.tolist()):
         c = grid[t, :n]
-        to = moves[state[:, :n] + c]
+        to = _next(model, state[:, :n], c)
         miss = to < 0
         found[:, :n] += miss
         state[:, :n] = np.where(miss, again[:, c], to)

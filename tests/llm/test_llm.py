@@ -282,6 +282,29 @@ def test_phrases_are_greedy_longest_matches():
         assert list(got) == want, text
 
 
+SCRIPTS = {
+    "el": "η γάτα κάθεται στο χαλί και ο σκύλος κοιμάται στο σπίτι", "ru": "кошка сидит на ковре и собака спит дома у огня", "uk": "кішка сидить на килимі і собака спить вдома біля вогню",
+    "ar": "القطة تجلس على السجادة والكلب ينام في البيت", "zh": "猫坐在地毯上狗睡在房子里我们喜欢它们", "ja": "猫は敷物の上に座り犬は家で眠るのが好きです", "en": "the cat",
+}
+
+
+def test_languages_of_any_script():
+    model = langid.build(SCRIPTS)
+    asked = {"el": "ο σκύλος και η γάτα", "ru": "собака и кошка дома", "uk": "собака і кішка вдома", "ar": "الكلب على السجادة", "zh": "狗坐在地毯上", "ja": "犬は家に座り", "en": "the cat"}
+    assert langid.predict(model, list(asked.values()))[0] == list(asked)
+
+
+@pytest.mark.parametrize("dense", [0, 3, 94])
+def test_phrases_are_the_same_with_rare_letters_apart(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    model = langid.build({"aa": SCRIPTS["zh"], "bb": SCRIPTS["el"]})
+    rng = random.Random(2)
+    for _ in range(40):
+        text = "".join(rng.choices(SCRIPTS["zh"][:9] + "στο και", k=rng.randint(1, 60)))
+        got = langid.phrases(model, [langid._symbols(text, model["symbol"])])[0]
+        assert list(got) == [brute_phrases(SCRIPTS[s], text) for s in ("zh", "el")], text
+
+
 def test_language_accuracy_and_edges(spark):
     out = langid.op4_language(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     held = out[out["held_out"]]
