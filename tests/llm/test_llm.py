@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from quaymark.llm import ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, url_filter  # noqa: E402
+from quaymark.llm import ann, chat, common, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, h string"
@@ -115,16 +115,46 @@ def test_near_dedup_finds_every_class(spark):
     assert out == {k: find(k) for k in range(len(rows))}
 
 
-def test_near_dedup_divides_large_buckets_without_losing_links(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 2)
+def found_classes(spark, rows, small=128, sketches=24, pick=2):
+    """The class of each id by the operator's links, with buckets of more than ``small`` nodes called large."""
+    docs = texts(spark, rows)
+    table = common.materialize(near_dedup.sketched(docs, "doc_id", "text", 5, sketches, pick), "sketches")
+    nodes = table.withColumn("node", F.xxhash64("row"))
+    labels = near_dedup.relabelled(nodes.select("id", "node"), near_dedup.links(docs, nodes, "text", 0.8, small=small))
+    return {r["id"]: r["label"] for r in labels.collect()}, [(r["id"], r["sketch"], r["n"]) for r in nodes.collect()]
+
+
+def partition(labels):
+    groups = defaultdict(set)
+    for k, v in labels.items():
+        groups[v].add(k)
+    return {frozenset(g) for g in groups.values()}
+
+
+def classes_of_pairs(rows, sketched, every=False):
+    """Classes when all pairs that share a value (or are short texts), or ``every`` pair, are compared."""
+    seqs = {i: np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint32).tobytes() for i, t, _ in rows}
+    parent = {i: i for i in seqs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, sa, na in sketched:
+        for b, sb, nb in sketched:
+            if a < b and (every or na <= near_dedup.SHORT and nb <= near_dedup.SHORT or set(sa) & set(sb)) and find(a) != find(b) and near_dedup.same(seqs[a], seqs[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return partition({i: find(i) for i in seqs})
+
+
+def test_near_dedup_divides_large_buckets_without_losing_links(spark):
     hot = [f"h{k}" for k in range(9)]
     rows = [(k, " ".join(hot + [f"u{k // 2}a", f"u{k // 2}b", f"u{k // 2}c", f"u{k // 2}d"]), "s") for k in range(40)]
     rows = [(k, t + (" x" if k % 2 else ""), s) for k, t, s in rows]
-    nodes = near_dedup.sketched(texts(spark, rows), "doc_id", "text", 5, 24, 2)
-    found = near_dedup.links(texts(spark, rows), nodes.select("node", "n", "sketch"), "text", 0.8, small=2)
-    ids = {bytes(r["node"]): r["id"] for r in nodes.collect()}
-    pairs = {frozenset((ids[bytes(r["node"])] // 2, ids[bytes(r["leader"])] // 2)) for f in found for r in f.collect()}
-    assert pairs == {frozenset((k,)) for k in range(20)}
+    labels, _ = found_classes(spark, rows, small=2)
+    assert partition(labels) == {frozenset((2 * k, 2 * k + 1)) for k in range(20)}
 
 
 @pytest.mark.parametrize("small", [2, 128])
@@ -135,28 +165,58 @@ def test_near_dedup_links_copies_through_a_text_that_matches_them_all(spark, sma
         at = k % 8 * 12 + 6
         rows.append((k, " ".join(hub[:at] + [f"n{k}.{j}" for j in range(12)] + hub[at:]), "s"))
     rows.append((49, " ".join(f"z{k}" for k in range(100)), "s"))
-    nodes = near_dedup.sketched(texts(spark, rows), "doc_id", "text", 5, 24, 2)
-    found = near_dedup.links(texts(spark, rows), nodes.select("node", "n", "sketch"), "text", 0.8, small=small)
-    edges = found[0]
-    for f in found[1:]:
-        edges = edges.unionByName(f)
-    ids = {bytes(r["node"]): r["id"] for r in nodes.collect()}
-    labels = {ids[bytes(r["node"])]: bytes(r["label"]) for r in near_dedup.classes(edges).collect()}
-    assert set(labels) == set(range(49)) and len(set(labels.values())) == 1
+    labels, _ = found_classes(spark, rows, small=small)
+    assert partition(labels) == {frozenset(range(49)), frozenset((49,))}
+
+
+@pytest.mark.parametrize(("copies", "size", "small"), [(300, 60, 128), (300, 90, 8)])
+def test_near_dedup_keeps_all_links_of_large_groups(spark, copies, size, small):
+    rng = random.Random(copies + size)
+    base = [f"b{k}" for k in range(size)]
+    rows = []
+    for i in range(copies):
+        words = list(base)
+        for at in rng.sample(range(size), rng.randint(size // 20, size // 4)):
+            words[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(words), "s"))
+    labels, sketched = found_classes(spark, rows, small=small)
+    mine = partition(labels)
+    assert all(any(c <= m for m in mine) for c in classes_of_pairs(rows, sketched))
+    true = classes_of_pairs(rows, sketched, every=True)
+    assert all(any(m <= c for c in true) for m in mine)
+
+
+def test_near_dedup_follows_chains_at_the_threshold(spark):
+    rows = []
+    for k in range(12):  # neighbours are 20 of 100 edits apart, all others more
+        rows.append((k, " ".join(f"w{j}.{k}" if j // 20 == k % 5 else f"w{j}.{k - (k - j // 20) % 5}" for j in range(100)), "s"))
+    labels, _ = found_classes(spark, rows, sketches=72)
+    assert partition(labels) == {frozenset(range(12))}
+
+
+def test_classes_contract_long_chains_and_stars(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10**9), 600)
+    chain = list(zip(ids[:400], ids[1:400], strict=False))
+    star = [(ids[400], x) for x in ids[401:]]
+    edges = spark.createDataFrame([e for pair in chain + star for e in (pair, pair[::-1])], "node long, leader long")
+    nodes = spark.createDataFrame([(x,) for x in ids], "node long")
+    labels = {r["node"]: r["label"] for r in near_dedup.relabelled(nodes, near_dedup.classes(edges)).collect()}
+    assert partition(labels) == {frozenset(ids[:400]), frozenset(ids[400:])}
 
 
 def test_near_dedup_sketches_bring_similar_texts_together():
     rng = np.random.default_rng(11)
-    for n, least in ((5, 1.0), (8, 1.0), (10, 1.0), (15, 1.0), (40, 1.0), (100, 0.97), (400, 0.97)):
+    for n, edits, least in ((70, 0.2, 0.86), (100, 0.2, 0.86), (400, 0.2, 0.86), (70, 0.15, 0.97), (400, 0.15, 0.97), (400, 0.1, 0.99)):
         met = 0
         for _ in range(200):
             a = rng.integers(0, 2**63, n).astype(np.uint64)
             b = a.copy()
-            at = rng.choice(n, int(0.2 * n + 1e-9), replace=False)
+            at = rng.choice(n, int(edits * n + 1e-9), replace=False)
             b[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
-            va, vb = (np.concatenate([near_dedup.sketch(near_dedup.labelled(w)), near_dedup.first_words(w) if n <= near_dedup.SHORT else []]) for w in (a, b))
-            met += bool(set(va.tolist()) & set(vb.tolist()))
-        assert met >= least * 200, n
+            va, vb = (near_dedup.sketch(near_dedup.labelled(w)) for w in (a, b))
+            met += bool((va == vb).any())
+        assert met >= least * 200, (n, edits)
 
 
 def test_near_dedup_finds_short_texts_with_a_word_changed_in_the_middle(spark):
