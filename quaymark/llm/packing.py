@@ -36,74 +36,86 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CACHE = 900_000
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 #: Token runs of printable ASCII; none crosses white space.
-_loaded_split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+").findall
+_ascii_runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+").findall
+#: Lower-case letters that the tokenizer's normalizers leave as they are: such a word is one run.
+_plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _loaded: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters above with the two characters by which byte-level BPE names their bytes:
+    a printable Latin-1 byte names itself, the others are numbered from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+_NAMED = _byte_letters()
+
+
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and this worker's memory of words it has seen."""
+    """The tokenizer, its BPE model and this worker's memory of what it has seen."""
     if path not in _loaded:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {}, {})
+        tokenizer = Tokenizer.from_file(path)
+        _loaded[path] = (tokenizer, tokenizer.model, {})
     return _loaded[path]
 
 
 def _parts(chunk: str) -> list[str]:
-    """A chunk between white spaces, cut where tokens end in any case; beyond printable
-    ASCII (the tokenizer composes characters there) only final points and commas go."""
+    """A chunk between white spaces, cut where tokens end in any case; beyond printable ASCII
+    (the tokenizer composes characters there) only points and commas after a letter go, one
+    that stays a letter in lower case."""
     if chunk.isascii() and chunk.isprintable():
-        return _loaded_split(chunk)
+        return _ascii_runs(chunk)
     core = chunk.rstrip(".,")
-    return [core, chunk[len(core) :]] if len(core) < len(chunk) and core and core[-1].isalpha() else [chunk]
-
-
-def _encode_words(tokenizer, words: list[str]) -> list[bytes]:
-    """Ids of each word. Words of letters or ASCII parts are one token run each, so many are
-    encoded as one text and cut apart; others are encoded one by one."""
-    easy = [k for k, w in enumerate(words) if w.isascii() and w.isprintable() or w.isalpha() and w.lower().isalpha()]
-    out: list[bytes | None] = [None] * len(words)
-    if easy:
-        e = tokenizer.encode(" ".join([words[k] for k in easy]), add_special_tokens=False)
-        run = np.array(e.word_ids, np.int64)
-        if len(run) and run[-1] + 1 == len(easy):
-            raw = np.array(e.ids, "<u4").tobytes()
-            cuts = [0, *(4 * (np.flatnonzero(np.diff(run)) + 1)).tolist(), len(raw)]
-            for k, a, b in zip(easy, cuts[:-1], cuts[1:], strict=True):
-                out[k] = raw[a:b]
-    rest = [k for k, x in enumerate(out) if x is None]
-    for k, e in zip(rest, tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-        out[k] = np.array(e.ids, "<u4").tobytes()
-    return out
+    cut = len(core) < len(chunk) and core and core[-1] <= "\u024f" and core[-1].lower()[-1].isalpha()
+    return [core, chunk[len(core) :]] if cut else [chunk]
 
 
 def encode(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
     """Ids of each text as unsigned 32-bit little-endian bytes, the same as
     ``Tokenizer.encode(text, add_special_tokens=False).ids``. Chunks between white space
-    are looked up; those not seen yet are split into words, and new words encoded."""
-    tokenizer, chunks, words = _tokenizer(path)
+    are looked up; those not seen yet are cut into parts, and new parts encoded, plain words
+    by the BPE model itself, others by the whole tokenizer."""
+    tokenizer, model, seen = _tokenizer(path)
+    packed = lambda ids: np.array(ids, "<u4").tobytes()
     lists: list[list[bytes] | None] = []
     direct: dict[int, bytes] = {}
     for k, text in enumerate(texts):
-        raw = text.encode("utf-8")
+        raw = text.encode("utf-8").lower()  # lower-cases ASCII; the tokenizer does the rest
         if SPECIAL[0] in raw or SPECIAL[1] in raw:  # these are tokens of their own
-            direct[k] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            direct[k] = packed(tokenizer.encode(text, add_special_tokens=False).ids)
             lists.append(None)
         else:
-            lists.append(raw.lower().split())  # lower-cases ASCII; the tokenizer does the rest
-    if len(chunks) > CACHE:
-        chunks.clear()
-        words.clear()
-    new = set().union(*[x for x in lists if x]) - chunks.keys()
-    parts = {c: _parts(c.decode()) for c in new}
-    fresh = list({w for p in parts.values() for w in p if w not in words})
-    words.update(zip(fresh, _encode_words(tokenizer, fresh), strict=True))
-    for c, p in parts.items():
-        chunks[c] = b"".join(map(words.__getitem__, p))
-    return [direct[k] if x is None else b"".join(map(chunks.__getitem__, x)) for k, x in enumerate(lists)]
+            lists.append(raw.split())
+    if len(seen) > CACHE:
+        seen.clear()
+    later: dict[bytes, list[bytes]] = {}
+    fresh: set[bytes] = set()
+    for c in set().union(*[x for x in lists if x]) - seen.keys():
+        word = c.decode()
+        if _plain(word):
+            seen[c] = packed([t.id for t in model.tokenize(word if word.isascii() else word.translate(_NAMED))])
+        else:
+            later[c] = parts = [w.encode() for w in _parts(word)]
+            fresh.update(parts)
+    rest = []
+    for w in fresh - seen.keys():
+        word = w.decode()
+        if _plain(word):
+            seen[w] = packed([t.id for t in model.tokenize(word if word.isascii() else word.translate(_NAMED))])
+        else:
+            rest.append(word)
+    for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        seen[w.encode()] = packed(e.ids)
+    for c, parts in later.items():
+        seen[c] = b"".join(map(seen.__getitem__, parts))
+    return [direct[k] if x is None else b"".join(map(seen.__getitem__, x)) for k, x in enumerate(lists)]
 
 
 def pieces_of(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
