@@ -1,53 +1,57 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The softmax is factored by classes: P(w | h) = P(class(w) | h) * P(w | class(w)). The class
-of a token is a function of its bytes alone (a few frequent tokens have classes of their
-own). P(class | h) is a maximum-entropy model whose features are n-grams and skip-grams of
-the history, hashed into a fixed table: the last token, the last two, the second last, the
-third last, and a bias. P(w | class) is the token's share of its class's training counts,
-one added for each token and one for all unknown ones, so all sums to one.
-
-Counts cover every training document: tasks add up their tokens before Spark adds up the
-tasks. Training is distributed gradient descent: in each round every task takes Adagrad
-steps over its share of the round's documents, starting from the same weights; the
-weights are then averaged by tokens (in blocks of the table, in Spark), and only the
-table, of fixed size, comes to the driver. Every training document is in one round.
-
-For scoring, tokens with a share of at least ``HEAD`` of all tokens (so at most 1 / HEAD of
-them) are broadcast with their counts; other tokens are joined with the counts in a
-shuffle, once per document and token, and summed up again by document. A frequent token
-so never is a hot key.
+The softmax is factored by classes: P(w | h) = P(c | h) * P(s | c, h) * P(w | c, s). The class
+c of a token follows from its last letters (the ``OWN`` most frequent tokens have classes of
+their own), its part s of the class from its hash. The first two factors are maximum-entropy
+models over hashed features of the history, n-grams and skip-grams: for the class a bias, the
+last token, the last two, the second last and the third last; for the part the class alone,
+with the last token and with the second last. P(w | c, s) is the token's share of the
+training counts of its part, one added for each token and one for all unknown ones, so the
+whole sums to one.
+
+Texts are read once. Each task writes its documents in chunks of about ``CHUNK`` tokens: the
+distinct tokens of the chunk (as 64-bit hashes, which stand for them from here on, with
+their training counts and endings) and each document's tokens as numbers in that list.
+Counts cover all training documents: the lists are summed up by hash in one shuffle, which
+has a token once a chunk, so a frequent token is no hot key, and go back to their chunks.
+
+Training is distributed gradient descent: in each round every task takes Adagrad steps over
+its share of the round's chunks, starting from the same weights; the weights are then
+averaged by tokens (in blocks of the table, in Spark), and only the table, of fixed size,
+comes to the driver. Every training document is in one round. Scoring is one pass over
+the chunks, each with its counts.
 
 Cases: null text is the empty text, whose only token is the end; rows with null or repeated
-ids are separate documents; without training documents all counts are 0. Other columns
-are ignored.
+ids are separate documents; without training documents all counts are 0; a text longer than
+a chunk is a chunk of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import id_crc, materialize, read_table
 
 END = b"\n"  # no word holds a line feed
-HEAD = 1 / 65536
 CLASSES = 32
 OWN = 12
-FEATURES = 4096
-ORDERS = 5
+PARTS = 16
+BITS = 13
+FEATURES = 1 << BITS
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.5
-BLOCK = 256
-FLUSH = 400_000
+BLOCK = 512
+CHUNK = 1_000_000
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -57,45 +61,42 @@ def words(raw: bytes | None) -> list[bytes]:
     return out
 
 
-def class_of(token: bytes, own: dict[bytes, int]) -> int:
-    """Frequent tokens have their own class; others are told apart by their endings."""
-    k = own.get(token)
-    if k is not None:
-        return k
+def token_hash(token: bytes) -> int:
+    """The 64-bit hash that stands for a token, as a signed number."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(token)).view(np.int64))
+
+
+def ending(token: bytes) -> int:
+    """The class of a token that has no class of its own, by its last letters."""
     stem = token.rstrip(b".,!?;:")
-    return len(own) + zlib.crc32(stem[-2:] + (b"," if len(stem) < len(token) else b"")) % (CLASSES - len(own))
-
-
-class Batch:
-    """Tokens of some documents as numbers."""
-
-    def __init__(self, texts, own: dict[bytes, int]):
-        lists = [words(t) for t in texts]
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        seen: dict[bytes, int] = {}
-        put = seen.setdefault
-        self.ids = np.fromiter((put(t, len(seen)) for x in lists for t in x), np.int64, int(self.sizes.sum()))
-        self.distinct = list(seen)
-        self.hashes = np.fromiter(map(zlib.crc32, self.distinct), np.uint64, len(seen))
-        self.classes = np.fromiter((class_of(t, own) for t in self.distinct), np.int64, len(seen))
-        self.doc = np.repeat(np.arange(len(lists)), self.sizes)
-        self.place = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+    return OWN + zlib.crc32(stem[-2:] + (b"," if len(stem) < len(token) else b"")) % (CLASSES - OWN)
+
+
+def _slot(x: np.ndarray, kind: int, low: int) -> np.ndarray:
+    """Table rows ``low`` and up of hashed features."""
+    h = (x + np.uint32(kind * 0x9E3779B9 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+    return np.maximum((h >> np.uint32(32 - BITS)).astype(np.uint16), np.uint16(low))
+
 
-    def rows(self) -> np.ndarray:
-        """The hashed features of each token's history, one column for each kind."""
-        h = self.hashes[self.ids]
-        back = []
-        for k in (1, 2, 3):
-            past = np.zeros_like(h)
-            past[k:] = h[:-k]
-            back.append(np.where(self.place >= k, past, np.uint64(7 + k)))
-        mix = lambda x, k: ((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 40)) >> np.uint64(40)) % np.uint64(FEATURES - 1) + np.uint64(1)
-        return np.stack([0 * h, mix(back[0], 1), mix(back[0] * np.uint64(31) + back[1], 2), mix(back[1], 3), mix(back[2], 4)], axis=1).astype(np.int64)
+def features(h: np.ndarray, place: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the class model and of the part model for each token: ``h`` are 32 bits
+    of the tokens' hashes, ``place`` their places in their documents."""
+    back = []
+    for k in (1, 2, 3):
+        past = np.full(len(h), 7 + k, np.uint32)
+        past[k:] = np.where(place[k:] >= k, h[:-k], np.uint32(7 + k))
+        back.append(past)
+    one, two, three = back
+    c = classes.astype(np.uint32) * np.uint32(0x27D4EB2F)
+    first = np.stack([np.zeros(len(h), np.uint16), _slot(one, 1, 1), _slot(one * np.uint32(31) + two, 2, 1), _slot(two, 3, 1), _slot(three, 4, 1)], axis=1)
+    second = np.stack([classes.astype(np.uint16), _slot(one ^ c, 5, CLASSES), _slot(two ^ c, 6, CLASSES)], axis=1)
+    return first, second
 
 
 def log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class | history) of every class."""
-    z = weights[rows[:, 0]].copy()
+    """log P of every outcome."""
+    z = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
     z -= z.max(axis=1, keepdims=True)
@@ -103,171 +104,203 @@ def log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
+def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on a batch, in place."""
     g = np.exp(log_probs(weights, rows))
-    g[np.arange(len(g)), classes] -= 1
+    g[np.arange(len(g)), target] -= 1
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
-    at, first = np.unique(flat[order], return_index=True)
+    ordered = flat[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    at = ordered[first]
     sums = np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
-    sums /= np.sqrt(np.bincount(flat, minlength=len(weights))[at])[:, None]
+    sums /= np.sqrt(np.diff(np.append(first, len(flat))))[:, None]
     power[at] += sums * sums
     weights[at] -= RATE * sums / np.sqrt(power[at])
 
 
-def _chunks(frames):
-    """Batches of about 200 000 characters' worth of rows."""
-    for f in frames:
-        at, sizes = 0, f["raw"].map(lambda x: len(x or b"")).to_numpy()
-        while at < len(f):
-            end, size = at, 0
-            while end < len(f) and (end == at or size < 400_000):
-                size += sizes[end]
-                end += 1
-            yield f.iloc[at:end]
-            at = end
+def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ``docs`` (id, held_out, raw) as chunks: the documents' ids, ``held_out`` and token
+    numbers (two bytes and the rest of each, apart, so that they compress), and the chunk's
+    distinct tokens: hashes, training counts, endings."""
+    kind = docs.schema["id"].dataType
 
+    def rows(batches):
+        number, schema = TaskContext.get().partitionId() << 32, None
+        ids, held, sizes, tokens, seen = [], [], [], [], {}
+
+        def out():
+            nonlocal number
+            flat = np.concatenate(tokens)
+            distinct = list(seen)
+            mine = np.repeat(~np.array(held, bool), sizes)
+            counts = np.bincount(flat[mine], minlength=len(distinct))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+            row = {
+                "chunk": number, "ids": ids.copy(), "held": held.copy(), "sizes": sizes.copy(), "low": (flat & 0xFFFF).astype("<u2").tobytes(), "high": (flat >> 16).astype("<u2").tobytes(),
+                "hashes": hashes, "counts": counts, "endings": np.fromiter(map(ending, distinct), np.int8, len(distinct)),
+            }
+            number += 1
+            for x in (ids, held, sizes, tokens, seen):
+                x.clear()
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        total = 0
+        for batch in batches:
+            schema = pa.schema([
+                ("chunk", pa.int64()), ("ids", pa.list_(batch.schema.field("id").type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("low", pa.binary()), ("high", pa.binary()),
+                ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("endings", pa.list_(pa.int8())),
+            ])
+            put = seen.setdefault
+            for doc, out_of, raw in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("raw"), strict=True):
+                found = words(raw.as_py())
+                if total and total + len(found) > chunk:
+                    yield out()
+                    total = 0
+                tokens.append(np.array([put(t, len(seen)) for t in found], np.int64))
+                ids.append(doc)
+                held.append(out_of)
+                sizes.append(len(found))
+                total += len(found)
+        if total:
+            yield out()
+
+    return docs.select("id", "held_out", "raw").mapInArrow(
+        rows, f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<long>, low binary, high binary, hashes array<long>, counts array<long>, endings array<byte>"
+    )
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n) over the rows of ``docs`` (raw)."""
-
-    def rows(frames):
-        got: Counter = Counter()
-        for f in frames:
-            for raw in f["raw"]:
-                got.update(words(raw))
-                if len(got) > FLUSH:
-                    yield pd.DataFrame({"token": list(got), "n": list(got.values())})
-                    got.clear()
-        yield pd.DataFrame({"token": list(got), "n": list(got.values())})
 
-    return docs.mapInPandas(rows, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+class Chunk:
+    """One chunk's tokens as numbers."""
 
+    def __init__(self, r, own: dict[int, int]):
+        self.sizes = np.array(r["sizes"], np.int64)
+        self.ids = np.frombuffer(r["low"], "<u2").astype(np.int32) | (np.frombuffer(r["high"], "<u2").astype(np.int32) << 16)
+        hashes = np.array(r["hashes"], np.int64)
+        self.kinds = np.array(r["endings"], np.int64)
+        for h, k in own.items():
+            self.kinds[hashes == h] = k
+        self.parts = (hashes.view(np.uint64) >> np.uint64(60)).astype(np.int64)
+        self.short = (hashes.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.place = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
-def train(docs: DataFrame, own: dict[bytes, int], mass: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after all rounds over ``docs`` (doc_id hash ``h``, raw). The bias starts at
-    the classes' shares (``mass``), so training starts from the counts alone."""
-    spark = docs.sparkSession
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    weights[0] = np.log(mass / mass.sum())
-    power = np.ones((FEATURES, CLASSES), np.float32)
+    def batches(self, use: np.ndarray | None = None, size: int = 16 * BATCH):
+        """(token numbers, features, classes, parts) of the tokens, or those to ``use``, by and by."""
+        ids, place = (self.ids, self.place) if use is None else (self.ids[use], self.place[use])
+        for at in range(0, len(ids), size):
+            # three tokens more in front, for the history
+            low = max(0, at - 3)
+            i = ids[low : at + size]
+            c = self.kinds[i]
+            first, second = features(self.short[i], place[low : at + size], c)
+            skip = at - low
+            yield i[skip:], first[skip:], second[skip:], c[skip:], self.parts[i[skip:]]
+
+
+def train(chunks: DataFrame, own: dict[int, int], mass: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights of the class and part models after all rounds over ``chunks``. The biases start at
+    the shares of the classes and parts (``mass``), so training starts from the counts alone."""
+    spark = chunks.sparkSession
+    by_class = mass.sum(axis=1)
+    tables = [np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES, PARTS), np.float32)]
+    tables[0][0] = np.log(np.maximum(by_class, 1e-9) / by_class.sum())
+    tables[1][:CLASSES] = np.log(np.maximum(mass, 1e-9) / np.maximum(by_class, 1e-9)[:, None])
+    tables += [np.ones_like(t) for t in tables]
+    width = [t.shape[1] for t in tables]
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((weights, power, own))
+        sent = spark.sparkContext.broadcast((tables, own))
 
         def rows(frames, sent=sent):
-            w, p, mine = sent.value
-            w, p, n = w.copy(), p.copy(), 0
-            for f in _chunks(frames):
-                b = Batch(f["raw"], mine)
-                x, y = b.rows(), b.classes[b.ids]
-                for at in range(0, len(y), BATCH):
-                    descend(w, p, x[at : at + BATCH], y[at : at + BATCH])
-                n += len(y)
+            start, mine = sent.value
+            w1, w2, p1, p2 = local = [t.copy() for t in start]
+            n = 0
+            for f in frames:
+                for r in f.to_dict("records"):
+                    c = Chunk(r, mine)
+                    for _, first, second, kind, part in c.batches(np.repeat(~np.array(r["held"], bool), c.sizes)):
+                        for at in range(0, len(kind), BATCH):
+                            here = slice(at, at + BATCH)
+                            descend(w1, p1, first[here], kind[here])
+                            descend(w2, p2, second[here], part[here])
+                        n += len(kind)
             if n:
-                yield pd.DataFrame([(at, n, w[at : at + BLOCK].tobytes(), p[at : at + BLOCK].tobytes()) for at in range(0, FEATURES, BLOCK)], columns=["at", "n", "w", "p"])
+                yield pd.DataFrame([(at, n, b"".join(t[at : at + BLOCK].tobytes() for t in local)) for at in range(0, FEATURES, BLOCK)], columns=["at", "n", "block"])
 
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
             n = frame["n"].to_numpy(np.float64)
-            both = []
-            for c in ("w", "p"):
-                total = sum(np.frombuffer(x, np.float32) * m for x, m in zip(frame[c], n, strict=True))
-                both.append((total / n.sum()).astype(np.float32).tobytes())
-            return pd.DataFrame([(frame["at"].iloc[0], *both)], columns=["at", "w", "p"])
-
-        parts = docs.filter(F.pmod("h", F.lit(rounds)) == k).select("raw").mapInPandas(rows, "at int, n long, w binary, p binary")
-        for r in parts.groupBy("at").applyInPandas(mean, "at int, w binary, p binary").collect():  # the table, of fixed size
-            weights[r["at"] : r["at"] + BLOCK] = np.frombuffer(r["w"], np.float32).reshape(-1, CLASSES)
-            power[r["at"] : r["at"] + BLOCK] = np.frombuffer(r["p"], np.float32).reshape(-1, CLASSES)
-    return weights
-
-
-def score(docs: DataFrame, training: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of the rows of ``docs`` (id, held_out, raw), learning from ``training`` (h, raw)."""
+            total = sum(np.frombuffer(x, np.float32) * m for x, m in zip(frame["block"], n, strict=True))
+            return pd.DataFrame([(frame["at"].iloc[0], (total / n.sum()).astype(np.float32).tobytes())], columns=["at", "block"])
+
+        parts = chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k).select("held", "sizes", "low", "high", "hashes", "endings").mapInPandas(rows, "at int, n long, block binary")
+        for r in parts.groupBy("at").applyInPandas(mean, "at int, block binary").collect():  # the tables, of fixed size
+            flat, low = np.frombuffer(r["block"], np.float32), 0
+            for t, m in zip(tables, width, strict=True):
+                t[r["at"] : r["at"] + BLOCK] = flat[low : low + BLOCK * m].reshape(-1, m)
+                low += BLOCK * m
+    return tables[:2]
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """(chunk, at, hash, kind, c, first) of each chunk's distinct tokens: their training counts in
+    the whole corpus, and whether the row is the first of its token."""
+    each = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("hashes") - 1).alias("at"), "hashes", "counts", "endings"))
+    tokens = chunks.select("chunk", each.alias("t"))
+    tokens = tokens.select("chunk", F.col("t.at").alias("at"), F.col("t.hashes").alias("hash"), F.col("t.counts").alias("n"), F.col("t.endings").alias("kind"))
+    same = Window.partitionBy("hash")
+    return tokens.select("chunk", "at", "hash", "kind", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
+
+
+def fit(chunks: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple:
+    """(total, distinct, own classes by hash, mass of each class and part, weights)."""
+    known = counts.filter("first AND c > 0")
+    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    own = {r["hash"]: k for k, r in enumerate(known.orderBy(F.desc("c"), "hash").select("hash").limit(OWN).collect())}
+    kind = F.col("kind").cast("int")
+    for h, k in own.items():
+        kind = F.when(F.col("hash") == h, k).otherwise(kind)
+    mass = np.zeros((CLASSES, PARTS))
+    mass[OWN:] = 1  # unknown tokens have no class of their own
+    for r in known.groupBy(kind.alias("k"), F.shiftrightunsigned("hash", 60).alias("s")).agg(F.sum(F.col("c") + 1).alias("n")).collect():  # CLASSES * PARTS rows
+        mass[r["k"], r["s"]] += r["n"]
+    return total, distinct, own, mass, train(chunks, own, mass, rounds)
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
+    """Scores of the rows of ``docs`` (id, held_out, raw), learning from those not held out."""
     spark = docs.sparkSession
-    vocab = materialize(count_tokens(training), "vocab")
-    total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # their shares sum to 1 at most, so they are 1 / HEAD at most
-    head = {bytes(r["token"]): r["n"] for r in vocab.filter(F.col("n") >= max(1.0, total * HEAD)).collect()}
-    own = {t: k for k, t in enumerate(sorted(head, key=lambda t: (-head[t], t))[:OWN])}
-
-    def class_counts(frames):
-        for f in frames:
-            yield pd.DataFrame({"class": [class_of(t, own) for t in f["token"]], "n": f["n"] + 1}).groupby("class", as_index=False).sum()
-
-    mass = np.ones(CLASSES)
-    for r in vocab.mapInPandas(class_counts, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows
-        mass[r["class"]] += r["n"]
-    weights = train(training, own, mass, rounds)
-    sent = spark.sparkContext.broadcast((head, own, weights, np.log10(mass)))
-
-    def rows(batches):
-        """Each document's own row, then its rarer tokens. The own rows' tokens are no words
-        but differ, so that the join deals them out evenly."""
-        head, own, weights, log_mass = sent.value
-        for batch in batches:
-            raws = batch.column("raw")
-            at, sizes = 0, pc.fill_null(pc.binary_length(raws), 0).to_numpy(zero_copy_only=False)
-            while at < len(raws):
-                end, size = at, 0
-                while end < len(raws) and (end == at or size < 400_000):
-                    size += sizes[end]
-                    end += 1
-                part = batch.slice(at, end - at)
-                at = end
-                b = Batch(part.column("raw").to_pylist(), own)
-                counts = np.fromiter((head.get(t, -1) for t in b.distinct), np.int64, len(b.distinct))
-                y = b.classes[b.ids]
-                logp = np.zeros(len(y))
-                x = b.rows()
-                for k in range(0, len(y), BATCH):
-                    lp = log_probs(weights, x[k : k + BATCH])
-                    logp[k : k + BATCH] = lp[np.arange(len(lp)), y[k : k + BATCH]]
-                own_logs = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1), 0)
-                n = len(part)
-                sums = lambda v: np.bincount(b.doc, v, n)  # noqa: E731, B023
-                model = sums(logp / np.log(10) - log_mass[y])
-                known = counts[b.ids] >= 0
-                rare = np.flatnonzero(~known)
-                pairs, times = np.unique(b.doc[rare] * len(b.distinct) + b.ids[rare], return_counts=True)
-                doc, tok = pairs // len(b.distinct), pairs % len(b.distinct)
-                m = len(doc)
-                row, zero = part.column("row"), np.zeros(m)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([row, row.take(pa.array(doc))]),
-                        pa.concat_arrays([pa.array([b"\n%d" % r for r in row.to_pylist()], pa.binary()), pa.array(b.distinct, pa.binary()).take(pa.array(tok))]),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), times])),
-                        pa.concat_arrays([part.column("id"), pa.nulls(m, part.column("id").type)]),
-                        pa.concat_arrays([part.column("held_out"), pa.nulls(m, pa.bool_())]),
-                        pa.array(np.concatenate([b.sizes, np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([sums(known).astype(np.int64), np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([sums(own_logs[b.ids]), zero])),
-                        pa.array(np.concatenate([model, zero])),
-                    ],
-                    names=["row", "token", "times", "id", "held_out", "n_tokens", "known", "logs", "model"],
-                )
+    chunks = materialize(chunked(docs, chunk), "chunks")
+    counts = materialize(counted(chunks), "counts")
+    total, distinct, own, mass, weights = fit(chunks, counts, rounds)
+    sent = spark.sparkContext.broadcast((own, weights, mass, float(np.log10(total + distinct + 1))))
+
+    def rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own, (w1, w2), mass, base = sent.value
+        parts = []
+        c = np.zeros(len(right), np.int64)
+        c[right["at"].to_numpy()] = right["c"].to_numpy()
+        log_c, log_mass = np.log10(c + 1.0), np.log10(np.maximum(mass, 1))
+        for r in left.to_dict("records"):
+            x = Chunk(r, own)
+            logp = []
+            for ids, first, second, kind, part in x.batches():
+                lane = np.arange(len(ids))
+                both = log_probs(w1, first)[lane, kind].astype(np.float64) + log_probs(w2, second)[lane, part]
+                logp.append(both / np.log(10) + log_c[ids] - log_mass[kind, part])
+            starts = np.cumsum(x.sizes) - x.sizes
+            sums = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731
+            parts.append(pd.DataFrame({
+                "id": pd.Series(list(r["ids"]), dtype=object), "held_out": list(r["held"]), "n_tokens": x.sizes, "n_known": sums((c[x.ids] > 0).astype(np.int64)),
+                "base_score": sums(log_c[x.ids]) - x.sizes * base, "score": sums(np.concatenate(logp)),
+            }))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    parts = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        rows, f"row long, token binary, times long, id {kind}, held_out boolean, n_tokens long, known long, logs double, model double"
-    )
-    joined = parts.join(vocab.withColumnRenamed("token", "t").withColumnRenamed("n", "c"), F.col("token") == F.col("t"), "left")
-    out = joined.groupBy("row").agg(
-        F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + F.coalesce(F.col("times") * F.log10(F.col("c") + 1), F.lit(0.0))).alias("logs"), F.sum("model").alias("model"),
-    )
-    base = float(np.log10(total + distinct + 1))
-    return out.select(
-        "id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * base).alias("base_score"), (F.col("logs") + F.col("model")).alias("score"),
-    )
+    data = chunks.select("chunk", "ids", "held", "sizes", "low", "high", "hashes", "endings").groupBy("chunk").cogroup(counts.select("chunk", "at", "c").groupBy("chunk"))
+    out = data.applyInPandas(rows, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    raw, rest = F.col("text").cast("binary").alias("raw"), id_crc("doc_id") % 7
-    training = docs.filter(rest != 2).select(F.xxhash64("doc_id").alias("h"), raw)
-    scored = score(docs.select(F.col("doc_id").alias("id"), (rest == 2).alias("held_out"), raw), training)
-    return scored.withColumnRenamed("id", "doc_id")
+    held = (id_crc("doc_id") % 7 == 2).alias("held_out")
+    return score(docs.select(F.col("doc_id").alias("id"), held, F.col("text").cast("binary").alias("raw"))).withColumnRenamed("id", "doc_id")

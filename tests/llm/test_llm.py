@@ -285,6 +285,16 @@ def test_encode_is_the_tokenizer():
         assert packing.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_packing_encodes_odd_strings_like_the_tokenizer():
+    plain, _, _ = packing._tokenizer(packing.TOKENIZER)
+    pool = [*"abcXYZ 's.,!?-_'\t\n 0129éÉßüñİıŞẞΣσςжЖ中文ﬁªº½²한각", "\u0301", "\u0307", "\u00ad", "\u200b", "\ufeff", "\x1c", "\x85", "\x00", "\U0001f600"]
+    pool += ["'s", "'RE", "İ.", "aİ.", "é.", "<|startoftext|>", "<|ENDOFTEXT|>", "don't", "ǅ", ".,"]
+    rng = random.Random(1)
+    for _ in range(5000):
+        text = "".join(rng.choices(pool, k=rng.randint(0, 12)))
+        assert packing.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_plan_uses_every_piece_and_wastes_little():
     rng = np.random.default_rng(3)
     hist = np.zeros(2049, np.int64)
@@ -391,20 +401,61 @@ def test_lm_counts_and_gain(spark):
     assert sum(got[i]["score"] for i in tokens if held[i]) > sum(got[i]["base_score"] for i in tokens if held[i])
 
 
-def test_class_probabilities_sum_to_one():
-    w = np.random.default_rng(0).normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
-    b = lm.Batch([b"a b c the of", None, b""], {b"the": 0})
-    assert np.allclose(np.exp(lm.log_probs(w, b.rows())).sum(axis=1), 1, atol=1e-5)
-    assert list(b.sizes) == [6, 1, 1]
+def lm_docs(docs, held=False):
+    return docs.select(F.col("doc_id").alias("id"), F.lit(held).alias("held_out"), F.col("text").cast("binary").alias("raw"))
+
+
+def test_lm_scores_match_a_plain_model(spark):
+    """Scores recomputed token by token with the trained tables, and sums over all words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = docs.collect()
+    held = {r["doc_id"]: r["doc_id"] % 3 == 0 for r in rows}
+    named = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 == 0).alias("held_out"), F.col("text").cast("binary").alias("raw"))
+    chunks = common.materialize(lm.chunked(named, 5000), "chunks")
+    total, distinct, own, mass, (w1, w2) = lm.fit(chunks, common.materialize(lm.counted(chunks), "counts"))
+    tokens = {r["doc_id"]: lm.words((r["text"] or "").encode()) for r in rows}
+    c = Counter(t for i, x in tokens.items() if not held[i] for t in x)
+    assert (total, distinct) == (sum(c.values()), len(c))
+    kind = lambda t: own.get(lm.token_hash(t), lm.ending(t))
+    part = lambda t: (lm.token_hash(t) % 2**64) >> 60
+    plain = Counter()
+    for t, n in c.items():
+        plain[kind(t), part(t)] += n + 1
+    assert all(mass[k, s] == plain[k, s] + (k >= lm.OWN) for k in range(lm.CLASSES) for s in range(lm.PARTS))
+
+    def slot(x, number, low):
+        h = (x + number * 0x9E3779B9) % 2**32 * 0x85EBCA6B % 2**32
+        return max((h ^ h >> 15) * 0xC2B2AE35 % 2**32 >> 32 - lm.BITS, low)
+
+    def chances(before, k=None):
+        """P of each class, or of each part of class ``k``, after the tokens ``before``."""
+        one, two, three = ((lm.token_hash(before[-j]) % 2**32 if len(before) >= j else 7 + j) for j in (1, 2, 3))
+        if k is None:
+            at, w = (0, slot(one, 1, 1), slot((one * 31 + two) % 2**32, 2, 1), slot(two, 3, 1), slot(three, 4, 1)), w1
+        else:
+            at, w = (k, slot(one ^ k * 0x27D4EB2F % 2**32, 5, lm.CLASSES), slot(two ^ k * 0x27D4EB2F % 2**32, 6, lm.CLASSES)), w2
+        z = np.exp(sum(w[x].astype(float) for x in at))
+        return z / z.sum()
+
+    got = {r["id"]: r for r in lm.score(named, chunk=5000).collect()}
+    for i in list(tokens)[:6]:
+        x = tokens[i][:4000]
+        if len(x) == len(tokens[i]):
+            want = sum(np.log10(chances(x[:j])[kind(t)] * chances(x[:j], kind(t))[part(t)] * (c[t] + 1) / mass[kind(t), part(t)]) for j, t in enumerate(x))
+            assert got[i]["score"] == pytest.approx(want, rel=1e-4)
+    before = tokens[next(iter(tokens))][:2]
+    first, second = chances(before), [chances(before, k) for k in range(lm.CLASSES)]
+    words = sum(first[kind(t)] * second[kind(t)][part(t)] * (n + 1) / mass[kind(t), part(t)] for t, n in c.items())
+    unknown = sum(first[k] * second[k][s] / mass[k, s] for k in range(lm.OWN, lm.CLASSES) for s in range(lm.PARTS))
+    assert words + unknown == pytest.approx(1, abs=1e-4)
 
 
 def test_lm_edges(spark):
     docs = texts(spark, edge_rows())
-    part = docs.select(F.col("doc_id").alias("id"), F.lit(True).alias("held_out"), F.col("text").cast("binary").alias("raw"))
-    train = docs.select(F.lit(1).cast("long").alias("h"), F.col("text").cast("binary").alias("raw"))
-    assert lm.score(part, train).count() == len(edge_rows())
-    none = lm.score(part, train.limit(0)).collect()
+    assert lm.score(lm_docs(docs)).count() == len(edge_rows())
+    none = lm.score(lm_docs(docs, held=True), chunk=3).collect()
     assert len(none) == len(edge_rows()) and {r["n_known"] for r in none} == {0}
+    assert lm.score(lm_docs(docs.limit(0))).count() == 0
 
 
 # -- quality ------------------------------------------------------------------------------------
