@@ -96,14 +96,29 @@ def features(h: np.ndarray, place: np.ndarray, classes: np.ndarray) -> tuple[np.
 
 def log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log P of every outcome."""
-    z = weights[rows[:, 0]]
+    z = weights.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += weights.take(rows[:, k], axis=0)
+    np.minimum(z, 80, out=z)  # so that no power is infinite
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
+def sums_of_runs(x: np.ndarray, first: np.ndarray, sizes: np.ndarray, few: int = 12) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``first``: most runs are short, so the second rows
+    of all runs are added at once, then the third ones; long runs one by one."""
+    out = x.take(first, axis=0)
+    long = sizes > few
+    for k in range(1, few):
+        at = np.flatnonzero((sizes > k) & ~long)
+        if not len(at):
+            break
+        out[at] += x.take(first[at] + k, axis=0)
+    for k in np.flatnonzero(long):
+        out[k] = x[first[k] : first[k] + sizes[k]].sum(axis=0)
+    return out
+
+
 def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on a batch, in place."""
     g = np.exp(log_probs(weights, rows))
@@ -112,11 +127,12 @@ def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, target: np
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    at = ordered[first]
-    sums = np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
-    sums /= np.sqrt(np.diff(np.append(first, len(flat))))[:, None]
-    power[at] += sums * sums
-    weights[at] -= RATE * sums / np.sqrt(power[at])
+    at, sizes = ordered[first], np.diff(np.append(first, len(flat)))
+    sums = sums_of_runs(g.take(order // rows.shape[1], axis=0), first, sizes)
+    sums /= np.sqrt(sizes).astype(np.float32)[:, None]
+    held = power.take(at, axis=0) + sums * sums
+    power[at] = held
+    weights[at] -= RATE * sums / np.sqrt(held)
 
 
 def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -450,6 +450,14 @@ def test_lm_scores_match_a_plain_model(spark):
     assert words + unknown == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_sums_of_runs():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 2, 12, 13, 40, 1, 11, 3])
+    first = np.cumsum(sizes) - sizes
+    x = rng.normal(size=(sizes.sum(), 4))
+    assert np.allclose(lm.sums_of_runs(x, first, sizes), np.add.reduceat(x, first, axis=0))
+
+
 def test_lm_edges(spark):
     docs = texts(spark, edge_rows())
     assert lm.score(lm_docs(docs)).count() == len(edge_rows())
