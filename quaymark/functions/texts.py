@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.sources.tables import written
+
 #: Entities and what they stand for (fixed values); ampersands come last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 TRACKING = r"(?i)(^|&)(utm_[^=&]*|fbclid|gclid)=[^&]*"
@@ -51,11 +53,27 @@ def relevance(title: Column, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(title.rlike(p), F.lit(k)) for k, p in patterns.items()]))
 
 
-def dedupe_news(items: DataFrame, url: str = "url", title: str = "title", order: tuple[str, ...] = ("published", "id")) -> DataFrame:
-    """One item for each clean URL, then one for each title key; the first in order stays.
-    Minima are taken before the shuffle, so a title that many items share is no hot task."""
+def dedupe_news(items: DataFrame, url: str = "url", title: str = "title", published: str = "published", id: str = "id") -> DataFrame:
+    """Items from the newest back (ties: the smaller ``id``), without those whose clean URL or
+    title key an item that stays has. In each round the first item of both its URL and its
+    title stays and takes its copies with it, until none is left; a few rounds do, since
+    only a chain of items that share now a URL, now a title needs more. Maxima are taken
+    before the shuffle, so a title that many items share is no hot task. Items without a
+    clean URL go; ``published`` and ``id`` are not null."""
     cols = items.columns
-    first = F.struct(*order, *[c for c in cols if c not in order])
-    keyed = items.withColumn("__u", clean_url(F.col(url))).filter("__u IS NOT NULL")
-    one = keyed.groupBy("__u").agg(F.min(first).alias("r")).select("r.*")
-    return one.withColumn("__t", title_key(F.col(title))).groupBy("__t").agg(F.min(first).alias("r")).select("r.*").select(*cols)
+    left = items.withColumns({"__u": clean_url(F.col(url)), "__t": title_key(F.col(title))}).filter("__u IS NOT NULL")
+    left = written(left.withColumn("__t", F.coalesce("__t", F.lit(""))), "news")
+    best = F.max(F.struct(F.col(published).alias("p"), (-F.col(id)).alias("i")))
+    kept = []
+    while not left.isEmpty():
+        by_url = written(left.groupBy("__u").agg(best.alias("__bu")), "urls")
+        by_title = written(left.groupBy("__t").agg(best.alias("__bt")), "titles")
+        mine = F.struct(F.col(published).alias("p"), (-F.col(id)).alias("i"))
+        now = left.join(by_url, "__u").join(by_title, "__t").filter((mine == F.col("__bu")) & (mine == F.col("__bt"))).drop("__bu", "__bt")
+        kept.append(written(now.dropDuplicates(["__u"]), "kept"))
+        rest = left.join(kept[-1].select("__u"), "__u", "left_anti").join(kept[-1].select("__t"), "__t", "left_anti")
+        left = written(rest, "news")
+    out = kept[0] if kept else left
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out.select(*cols)

@@ -36,9 +36,10 @@ def local_to_utc(local: Column, zone: Column | str) -> Column:
 
 
 def cycles(ms: Column) -> list[Column]:
-    """Sine and cosine of the UTC time of day and of the day of the week (Sunday is 0)."""
-    day = 2 * 3.141592653589793 * (F.pmod(ms, F.lit(86_400_000)) / 86_400_000)
-    week = 2 * 3.141592653589793 * F.pmod(F.floor(ms / 86_400_000) + 4, F.lit(7)) / 7
+    """Sine and cosine of the UTC time of day and of the time of the week (Sunday is 0), to the minute."""
+    minutes = F.floor(ms / 60_000)
+    day = 2 * 3.141592653589793 * F.pmod(minutes, F.lit(1440)) / 1440
+    week = 2 * 3.141592653589793 * F.pmod(minutes + 4 * 1440, F.lit(7 * 1440)) / (7 * 1440)
     return [F.sin(day), F.cos(day), F.sin(week), F.cos(week)]
 
 

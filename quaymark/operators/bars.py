@@ -125,7 +125,8 @@ def merge_keep_last(history: DataFrame, incoming: DataFrame, keys: list[str], ve
 
 def daily_levels(bars: DataFrame, minutes: int) -> DataFrame:
     """Per bar: yesterday's high and low (UTC; only of days without a missing bar) and the
-    range of the first hour's bars of today."""
+    range of the first hour's bars of today, which is known from the second hour on and
+    counts until the end of the fourth."""
     day = 24 * 60 * MINUTE
     slots = 24 * 60 // minutes
     first = max(1, 60 // minutes)
@@ -137,4 +138,6 @@ def daily_levels(bars: DataFrame, minutes: int) -> DataFrame:
     )
     before = days.filter(F.col("n") == slots).select("instrument", (F.col("day") + 1).alias("day"), F.col("d_high").alias("previous_day_high"), F.col("d_low").alias("previous_day_low"))
     today = days.filter(F.col("o_n") == first).select("instrument", "day", F.col("o_high").alias("opening_high"), F.col("o_low").alias("opening_low"))
-    return tagged.join(before, ["instrument", "day"], "left").join(today, ["instrument", "day"], "left")
+    known = (F.col("bucket") >= F.col("day") * day + 60 * MINUTE) & (F.col("bucket") < F.col("day") * day + 4 * 60 * MINUTE)
+    both = tagged.join(before, ["instrument", "day"], "left").join(today, ["instrument", "day"], "left")
+    return both.withColumns({c: F.when(known, F.col(c)) for c in ("opening_high", "opening_low")})

@@ -109,10 +109,11 @@ LAYERS: list[dict[str, str]] = [
         "vhf": "(max(close) {28} - min(close) {28}) / nullif(sum(abs(change)) {28}, 0)",
         "eom_raw": "CASE WHEN volume > 0 AND ph IS NOT NULL THEN (median - (ph + pl) / 2) * (high - low) / volume * 1e8 END",
         "money_up": "CASE WHEN typical > lag(typical) {} THEN typical * volume ELSE 0.0 END", "money_down": "CASE WHEN typical < lag(typical) {} THEN typical * volume ELSE 0.0 END",
-        "fractal_high": "CASE WHEN lag(high, 3) {} > greatest(lag(high, 1) {}, lag(high, 2) {}, lag(high, 4) {}, lag(high, 5) {}) THEN lag(high, 3) {} END",
-        "fractal_low": "CASE WHEN lag(low, 3) {} < least(lag(low, 1) {}, lag(low, 2) {}, lag(low, 4) {}, lag(low, 5) {}) THEN lag(low, 3) {} END",
-        "failed_high": "max(high) {20:2}", "failed_low": "min(low) {20:2}", "retest_high": "max(high) {20:3}", "retest_low": "min(low) {20:3}",
-        "nr7": "high - low < range_prior_low",
+        "fractal_high": "CASE WHEN min(CASE WHEN step_ok THEN 1 ELSE 0 END) {5} = 1 AND lag(high, 3) {} > greatest(lag(high, 1) {}, lag(high, 2) {}, lag(high, 4) {}, lag(high, 5) {}) THEN lag(high, 3) {} END",
+        "fractal_low": "CASE WHEN min(CASE WHEN step_ok THEN 1 ELSE 0 END) {5} = 1 AND lag(low, 3) {} < least(lag(low, 1) {}, lag(low, 2) {}, lag(low, 4) {}, lag(low, 5) {}) THEN lag(low, 3) {} END",
+        "failed_high": "CASE WHEN min(CASE WHEN step_ok THEN 1 ELSE 0 END) {21} = 1 THEN max(high) {20:2} END", "failed_low": "CASE WHEN min(CASE WHEN step_ok THEN 1 ELSE 0 END) {21} = 1 THEN min(low) {20:2} END",
+        "retest_high": "CASE WHEN min(CASE WHEN step_ok THEN 1 ELSE 0 END) {22} = 1 THEN max(high) {20:3} END", "retest_low": "CASE WHEN min(CASE WHEN step_ok THEN 1 ELSE 0 END) {22} = 1 THEN min(low) {20:3} END",
+        "nr7": "min(CASE WHEN step_ok THEN 1 ELSE 0 END) {6} = 1 AND high > low AND high - low < range_prior_low",
         "contiguous22": "min(CASE WHEN step_ok THEN 1 ELSE 0 END) {21} = 1", "contiguous3": "min(CASE WHEN step_ok THEN 1 ELSE 0 END) {2} = 1", "contiguous60": "min(CASE WHEN step_ok THEN 1 ELSE 0 END) {59} = 1",
     },
     {
@@ -124,7 +125,7 @@ LAYERS: list[dict[str, str]] = [
         "ols_sse": "greatest(0.0, close_var - ols_slope * ols_slope * 33.25)",
         "hma": _weighted("hull_raw", 4), "coppock": _weighted("coppock_raw", 10), "kst_signal": "avg(kst) {9}",
         "eom": "avg(eom_raw) {14}",
-        "mfi": "100 - 100 / (1 + sum(money_up) {14} / nullif(sum(money_down) {14}, 0))",
+        "mfi": "100 * sum(money_up) {14} / nullif(sum(money_up) {14} + sum(money_down) {14}, 0)",
         "squeeze": "bb_width",
     },
     {

@@ -268,8 +268,10 @@ def route(ctx: DataFrame) -> DataFrame:
     aligned = F.expr("(ema9 > ema21 AND ema21 > ema50 OR ema9 < ema21 AND ema21 < ema50) AND trend > 0.8")
     steps += [("supertrend", on["supertrend"] & (F.col("supertrend_way") != F.col("prev_supertrend_way"))), ("elder-ray", on["elder-ray"])]
     steps += [(id, aligned & on[id]) for id in ("pullback", "vwap", "continuation")]
-    steps += [("reversion", on["reversion"]), ("supertrend", on["supertrend"])]
-    steps += [(r.id, side(r) != 0) for r in RULES]  # a completed rule is never masked by a preference
+    steps += [(r.id, aligned & (side(r) != 0)) for r in RULES if r.id not in ROUTE and r.id not in on]
+    apart = ~F.coalesce(aligned, F.lit(False))  # in a trend an established supertrend is no choice of its own
+    steps += [("reversion", on["reversion"]), ("supertrend", apart & on["supertrend"])]
+    steps += [(r.id, side(r) != 0 if r.id != "supertrend" else apart & (side(r) != 0)) for r in RULES]  # a completed rule is never masked by a preference
     chosen = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(id)) for id, c in steps])
     fallback = F.when(aligned, "continuation").when(F.col("trend") < 0.65, "stochastic").otherwise("continuation")
     return ctx.select("instrument", "bucket", F.coalesce(chosen, fallback).alias("rule"), chosen.isNotNull().alias("complete"))

@@ -60,14 +60,15 @@ def stationary_bootstrap(rows: DataFrame, keys: list[str], value: str = "net_r",
     return _grouped(rows, keys, value, order, one, "n long, mean double, low double, high double")
 
 
-def block_bootstrap(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", reps: int = 4999, block: int = 8, seed: int = 72) -> DataFrame:
+def block_bootstrap(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", reps: int = 4999, block: int = 8, seed: int = 72, least: int = 30) -> DataFrame:
     """Circular blocks: 95 % interval of the mean and p = (1 + #{mean <= 0}) / (reps + 1)
-    of the sample centred on zero exceeding the mean seen."""
+    of the sample centred on zero exceeding the mean seen; of fewer than ``least`` values no
+    interval and p = 1."""
 
     def one(x: np.ndarray):
         n = len(x)
-        if n < 2 or block > n:
-            return n, float(x.mean()) if n else None, None, None, None
+        if n < least:
+            return n, float(x.mean()) if n else None, None, None, 1.0
         rng, seen = np.random.default_rng(seed), x.mean()
         means, at, blocks = np.empty(reps), 0, -(-n // block)
         while at < reps:
@@ -83,7 +84,7 @@ def block_bootstrap(rows: DataFrame, keys: list[str], value: str = "net_r", orde
     return _grouped(rows, keys, value, order, one, "n long, mean double, low double, high double, p double")
 
 
-def moving_blocks(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", reps: int = 400, block: int = 3, seed: int = 12345, least: int = 20) -> DataFrame:
+def moving_blocks(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", reps: int = 400, block: int = 3, seed: int = 20261013, least: int = 20) -> DataFrame:
     """Interval from blocks drawn by the congruential sequence; ends at floor(.025 n) and
     ceil(.975 n) - 1 of the sorted means."""
 

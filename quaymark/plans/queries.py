@@ -93,7 +93,7 @@ def coarser(spark, sf_dir):
 
 @query("a04_daily_levels", BARS + f"""SELECT b.instrument, b.bucket, p.h AS previous_day_high, p.l AS previous_day_low, t.oh AS opening_high, t.ol AS opening_low FROM bars b
 LEFT JOIN (SELECT instrument, bucket // {24 * HOUR} AS day, max(high) AS h, min(low) AS l FROM bars GROUP BY 1, 2 HAVING count(*) = 24) p ON p.instrument = b.instrument AND p.day + 1 = b.bucket // {24 * HOUR}
-LEFT JOIN (SELECT instrument, bucket // {24 * HOUR} AS day, max(high) AS oh, min(low) AS ol FROM bars WHERE bucket % {24 * HOUR} = 0 GROUP BY 1, 2) t ON t.instrument = b.instrument AND t.day = b.bucket // {24 * HOUR}""")
+LEFT JOIN (SELECT instrument, bucket // {24 * HOUR} AS day, max(high) AS oh, min(low) AS ol FROM bars WHERE bucket % {24 * HOUR} = 0 GROUP BY 1, 2) t ON t.instrument = b.instrument AND t.day = b.bucket // {24 * HOUR} AND b.bucket % {24 * HOUR} >= {HOUR} AND b.bucket % {24 * HOUR} < {4 * HOUR}""")
 def daily_levels(spark, sf_dir):
     return B.daily_levels(hours(spark, sf_dir), 60).select("instrument", "bucket", "previous_day_high", "previous_day_low", "opening_high", "opening_low")
 
@@ -304,7 +304,11 @@ def research(spark, sf_dir):
 
 @query("a21_family_summary")
 def families(spark, sf_dir):
-    return K.signals(K.context(hours(spark, sf_dir), 60)).groupBy("family").agg(F.count_distinct("rule").alias("rules"), F.count("*").alias("signals"), F.avg("score").alias("score"))
+    """Rules of each family, those that fired, and their signals; families without any count too."""
+    catalogue = spark.createDataFrame([(r.id, r.family) for r in K.RULES], "rule string, family string")
+    fired = K.signals(K.context(hours(spark, sf_dir), 60)).groupBy("rule").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
+    each = catalogue.join(fired, "rule", "left").groupBy("family")
+    return each.agg(F.count("*").alias("rules"), F.count("n").alias("fired"), F.coalesce(F.sum("n"), F.lit(0)).alias("signals"), (F.sum("s") / F.sum("n")).alias("score"))
 
 
 @query("k08_trade_examples")
@@ -315,8 +319,11 @@ def examples(spark, sf_dir):
 
 
 def rule_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans entered at the open of the bar after the signal (if that bar follows at once), labelled."""
     b = hours(spark, sf_dir)
-    return T.label(T.plans(K.signals(K.context(b, 60))), b, 60)
+    follow = b.select("instrument", (F.col("bucket") - HOUR).alias("bucket"), F.col("open").alias("next_open"))
+    fired = K.signals(K.context(b, 60)).join(follow, ["instrument", "bucket"])
+    return T.label(T.plans(fired, quote="next_open").drop("next_open"), b, 60)
 
 
 @query("k12_ranked_ideas")
@@ -690,7 +697,7 @@ def title_key(spark, sf_dir):
 @query("u05_news_dedupe")
 def news(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.col("page_id").alias("published"))
-    return texts.dedupe_news(p, order=("published", "id")).select("id", "url", "title")
+    return texts.dedupe_news(p).select("id", "url", "title")
 
 
 @query("d18_digests", "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
@@ -698,7 +705,7 @@ def digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
 
 
-@query("d05_time_cycles", "SELECT event_id, round(sin(2 * 3.141592653589793 * ((epoch_us(ts) // 1000) % 86400000) / 86400000.0), 6) AS sin_day, round(cos(2 * 3.141592653589793 * (((epoch_us(ts) // 1000) // 86400000 + 4) % 7) / 7.0), 6) AS cos_week FROM events")
+@query("d05_time_cycles", "SELECT event_id, round(sin(2 * 3.141592653589793 * (hour(ts) + minute(ts) / 60.0) / 24), 6) AS sin_day, round(cos(2 * 3.141592653589793 * (dayofweek(ts) + hour(ts) / 24.0 + minute(ts) / 1440.0) / 7), 6) AS cos_week FROM events")
 def cycles(spark, sf_dir):
     t = B.ticks_from_events(table(spark, sf_dir, "events"))
     c = times.cycles(F.col("ms"))
@@ -792,7 +799,7 @@ def last_run(spark, sf_dir):
 
 @query("r20_market_health", """WITH q AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ns, value AS price, value * 0.999 AS bid, value * 1.001 AS ask, user_id % 3 AS u FROM events), n AS (SELECT max(ns) AS now FROM q),
 l AS (SELECT symbol, arg_max(struct_pack(ns := ns, bid := bid, ask := ask, u := u), ns) AS r FROM q GROUP BY 1)
-SELECT symbol, CASE WHEN (now - r.ns) / 1e9 > 120 THEN 'stale' WHEN r.u > 0 AND (now - r.ns) / 1e9 <= 30 THEN 'live' ELSE 'snapshot' END AS state, round((now - r.ns) / 1e9, 6) AS age_s, round(10000 * (r.ask - r.bid) / ((r.bid + r.ask) / 2), 6) AS spread_bps FROM l, n""")
+SELECT symbol, CASE WHEN (now - r.ns) / 1e9 >= CASE WHEN r.u > 0 THEN 30 ELSE 120 END THEN 'stale' WHEN r.u > 0 THEN 'live' ELSE 'snapshot' END AS state, round((now - r.ns) / 1e9, 6) AS age_s, round(10000 * (r.ask - r.bid) / ((r.bid + r.ask) / 2), 6) AS spread_bps FROM l, n""")
 def health(spark, sf_dir):
     q = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 1000).alias("ns"), (F.col("value") * 0.999).alias("bid"), (F.col("value") * 1.001).alias("ask"), F.when(F.col("user_id") % 3 > 0, "websocket").otherwise("rest").alias("transport"))

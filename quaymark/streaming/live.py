@@ -173,10 +173,11 @@ def select_quote(quotes: DataFrame, now_ns: Column, fresh_s: int = 30) -> DataFr
     return quotes.filter(valid).groupBy("symbol").agg(best.alias("q")).select("symbol", "q.*")
 
 
-def market_health(quotes: DataFrame, now_ns: Column, stale_s: int = 30) -> DataFrame:
-    """State of each quote: live, snapshot, stale; its age and spread in basis points."""
+def market_health(quotes: DataFrame, now_ns: Column, stale_s: int = 30, snapshot_s: int = 120) -> DataFrame:
+    """State of each quote: live, snapshot, stale; its age and spread in basis points. A stream's
+    quote is stale from ``stale_s`` on, any other from ``snapshot_s`` on."""
     age = (now_ns - F.col("ns")) / 1e9
-    state = F.when(age.isNull() | (age < -60), "invalid").when(age > 120, "stale").when((F.col("transport") == "websocket") & (age <= stale_s), "live").otherwise("snapshot")
+    state = F.when(age.isNull() | (age < -60), "invalid").when(age >= F.when(F.col("transport") == "websocket", stale_s).otherwise(snapshot_s), "stale").when(F.col("transport") == "websocket", "live").otherwise("snapshot")
     mid = (F.col("bid") + F.col("ask")) / 2
     return quotes.withColumns({"state": state, "age_s": age, "spread_bps": F.when((F.col("bid") > 0) & (F.col("ask") >= F.col("bid")), 10000 * (F.col("ask") - F.col("bid")) / mid)})
 

@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import random
 import shutil
 import zipfile
 from decimal import Decimal
@@ -16,6 +17,7 @@ from quaymark.functions import texts, times
 from quaymark.operators import bars as B
 from quaymark.operators import metrics as M
 from quaymark.operators import recursive as R
+from quaymark.operators import rolling as G
 from quaymark.operators import rules as K
 from quaymark.operators import stats as S
 from quaymark.operators import trades as T
@@ -360,3 +362,77 @@ def test_queries_match_their_sql(spark, name):
     mine = sorted([str([plain(v) for v in r]) for r in got.select(*cols).collect()])
     theirs = sorted([str([plain(v) for v in r]) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()])
     assert mine == theirs
+
+
+# -- answers that must follow plain loops -----------------------------------------------------
+
+
+def plain_bars(n=80, gap=60):
+    rng, price, out = random.Random(4), 100.0, []
+    for k in range(n):
+        move = rng.uniform(-1, 1)
+        open_, close = price, price + move
+        step = k + (3 if k >= gap else 0)  # three bars are missing
+        out.append(("x", step * 3_600_000_000_000, open_, max(open_, close) + rng.random(), min(open_, close) - rng.random(), close, rng.uniform(1, 9)))
+        price = close
+    return out
+
+
+def test_rolling_indicators_match_plain_loops(spark):
+    rows, hour = plain_bars(), 3_600_000_000_000
+    bars = spark.createDataFrame(rows, "instrument string, bucket long, open double, high double, low double, close double, volume double")
+    bars = bars.withColumn("step_ok", F.expr(f"bucket - lag(bucket) OVER (PARTITION BY instrument ORDER BY bucket) = {hour}"))
+    wanted = ["mfi", "fractal_high", "failed_high", "retest_low", "nr7", "sma20", "efficiency"]
+    got = {r["bucket"]: r for r in G.rolling(bars).select("bucket", *wanted).collect()}
+    for k in range(40, len(rows)):
+        r, t = got[rows[k][1]], [(x[3] + x[4] + x[5]) / 3 for x in rows]
+        joined = lambda n: all(rows[i][1] - rows[i - 1][1] == hour for i in range(k - n + 2, k + 1))  # noqa: B023, E731
+        up = sum(t[i] * rows[i][6] for i in range(k - 13, k + 1) if t[i] > t[i - 1])
+        down = sum(t[i] * rows[i][6] for i in range(k - 13, k + 1) if t[i] < t[i - 1])
+        assert r["mfi"] == pytest.approx(100 * up / (up + down))
+        five = [rows[i][3] for i in range(k - 5, k)]
+        pivot = five[2] if joined(6) and all(five[2] > h for i, h in enumerate(five) if i != 2) else None
+        assert r["fractal_high"] == pivot
+        assert r["failed_high"] == (max(rows[i][3] for i in range(k - 21, k - 1)) if joined(22) else None)
+        assert r["retest_low"] == (min(rows[i][4] for i in range(k - 22, k - 2)) if joined(23) else None)
+        span = lambda i: rows[i][3] - rows[i][4]
+        assert bool(r["nr7"]) == (joined(7) and all(span(k) < span(i) for i in range(k - 6, k)))
+        assert r["sma20"] == pytest.approx(sum(rows[i][5] for i in range(k - 19, k + 1)) / 20)
+        path = sum(abs(rows[i][5] - rows[i - 1][5]) for i in range(k - 9, k + 1))
+        assert r["efficiency"] == pytest.approx(abs(rows[k][5] - rows[k - 10][5]) / path)
+
+
+def test_opening_range_is_not_known_before_the_first_hour_ends(spark):
+    hour = 3_600_000_000_000
+    bars = spark.createDataFrame([("x", k * hour, 1.0, 10.0 + k, 1.0 + k, 2.0) for k in range(48)], "instrument string, bucket long, open double, high double, low double, close double")
+    got = {r["bucket"] // hour: (r["opening_high"], r["previous_day_high"]) for r in B.daily_levels(bars, 60).collect()}
+    assert {k: v[0] for k, v in got.items() if v[0] is not None} == {1: 10.0, 2: 10.0, 3: 10.0, 25: 34.0, 26: 34.0, 27: 34.0}
+    assert got[30][1] == 33.0 and got[3][1] is None
+
+
+def test_week_cycle_moves_within_the_day(spark):
+    ms = 3 * 86_400_000 + 6 * 3_600_000 + 30 * 60_000 + 59_999  # a Sunday, 06:30
+    c = times.cycles(F.col("ms"))
+    r = spark.createDataFrame([(ms,)], "ms long").select(*[x.alias(f"c{k}") for k, x in enumerate(c)]).first()
+    day, week = 2 * math.pi * 6.5 / 24, 2 * math.pi * (6 / 24 + 30 / 1440) / 7
+    assert list(r) == pytest.approx([math.sin(day), math.cos(day), math.sin(week), math.cos(week)])
+
+
+def test_news_keeps_the_newest_of_each_url_or_title(spark):
+    rng = random.Random(9)
+    items = [(k, f"https://n.example/{rng.randrange(25)}", f"Title {rng.randrange(25)}!", rng.randrange(40)) for k in range(120)] + [(500, "not a url", "t", 99)]
+    urls, titles, want = set(), set(), set()
+    for i, u, t, _ in sorted((x for x in items if x[0] < 500), key=lambda x: (-x[3], x[0])):
+        if u not in urls and t not in titles:
+            urls.add(u)
+            titles.add(t)
+            want.add(i)
+    got = texts.dedupe_news(spark.createDataFrame(items, "id long, url string, title string, published long"))
+    assert {r["id"] for r in got.collect()} == want and got.columns == ["id", "url", "title", "published"]
+    assert texts.dedupe_news(spark.createDataFrame([], "id long, url string, title string, published long")).count() == 0
+
+
+def test_quotes_of_streams_are_stale_sooner(spark):
+    rows = [("a", 70.0, "websocket"), ("b", 70.0, "rest"), ("c", 120.0, "import"), ("d", 29.0, "websocket")]
+    q = spark.createDataFrame([(s, int((200 - age) * 1e9), 1.0, 1.1, t) for s, age, t in rows], "symbol string, ns long, bid double, ask double, transport string")
+    assert {r["symbol"]: r["state"] for r in L.market_health(q, F.lit(200 * 10**9)).collect()} == {"a": "stale", "b": "snapshot", "c": "stale", "d": "live"}
