@@ -124,15 +124,21 @@ def bar_quality(spark, sf_dir):
     return B.quality(hours(spark, sf_dir), 60)
 
 
-@query("q11_history_merge", BARS + f""", old AS (SELECT *, 0 AS version FROM bars WHERE bucket % {2 * HOUR} = 0), new AS (SELECT instrument, bucket, open, high, low, close + 1 AS close, volume, trades, 1 AS version FROM bars WHERE bucket % {3 * HOUR} = 0),
-m AS (SELECT *, row_number() OVER (PARTITION BY instrument, bucket ORDER BY version DESC) AS k FROM (SELECT * FROM old UNION ALL SELECT * FROM new)),
+QUARTER = 15 * B.MINUTE
+
+
+@query("q11_history_merge", BARS + f""", q AS (SELECT instrument, ns - ns % {QUARTER} AS bucket, arg_max(price, struct_pack(a := ns, b := sequence)) AS close, max(ns) AS last_ns FROM ticks GROUP BY 1, 2),
+c AS (SELECT *, max(last_ns) OVER (PARTITION BY instrument) AS newest FROM q),
+new AS (SELECT instrument, bucket - bucket % {HOUR} AS bucket, arg_max(close, bucket) AS close, 1 AS version FROM c WHERE bucket + {QUARTER} <= newest GROUP BY instrument, c.bucket - c.bucket % {HOUR} HAVING count(*) = 4),
+m AS (SELECT *, row_number() OVER (PARTITION BY instrument, bucket ORDER BY version DESC) AS k FROM (SELECT instrument, bucket, close, 0 AS version FROM bars UNION ALL SELECT * FROM new)),
 n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket DESC) AS r FROM m WHERE k = 1)
-SELECT instrument, bucket, close, version FROM n WHERE r <= 300""")
+SELECT instrument, bucket, close, version FROM n WHERE r <= 5000""")
 def history_merge(spark, sf_dir):
-    b = hours(spark, sf_dir)
-    old = b.filter(F.col("bucket") % (2 * HOUR) == 0).withColumn("version", F.lit(0))
-    new = b.filter(F.col("bucket") % (3 * HOUR) == 0).withColumn("close", F.col("close") + 1).withColumn("version", F.lit(1))
-    return B.merge_keep_last(old, new, ["instrument", "bucket"], "version", 300).select("instrument", "bucket", "close", "version")
+    """Hours from ticks, replaced where the same hour can be built of four quarters; the
+    newest 5000 of each instrument are the history that is kept."""
+    old = hours(spark, sf_dir).withColumn("version", F.lit(0))
+    new = B.coarser(hours(spark, sf_dir, 15), 60, 15).withColumn("version", F.lit(1))
+    return B.merge_keep_last(old, new, ["instrument", "bucket"], "version", 5000).select("instrument", "bucket", "close", "version")
 
 
 # -- rolling indicators: one query for each, all from the same layered expressions ------
@@ -765,7 +771,7 @@ def latency(spark, sf_dir):
     return s.select("k", "n", "skewed", "invalid", *rounded(s, ["p50", "p95", "p99"]))
 
 
-FOLLOWED = BARS + f""", s AS (SELECT instrument || '-' || bucket AS id, instrument AS symbol, bucket + {HOUR} AS a, bucket + {5 * HOUR} AS z, close * 0.9 AS stop, close * 1.1 AS target FROM bars WHERE bucket % {6 * HOUR} = 0),
+FOLLOWED = BARS + f""", s AS (SELECT instrument || '-' || bucket AS id, instrument AS symbol, bucket + {HOUR} AS a, bucket + {5 * HOUR} AS z, close * 0.9 AS stop, close * 1.1 AS target FROM bars),
 q AS (SELECT instrument, ns, sequence, price FROM ticks), h AS (SELECT s.id, q.ns, q.sequence, q.price, CASE WHEN q.price <= s.stop THEN 'stop' WHEN q.price >= s.target THEN 'target' END AS t FROM s JOIN q ON q.instrument = s.symbol AND q.ns >= s.a AND q.ns < s.z),
 f AS (SELECT id, arg_min(t, struct_pack(a := ns, b := sequence)) AS t, arg_min(price, struct_pack(a := ns, b := sequence)) AS price, min(ns) AS ns FROM h WHERE t IS NOT NULL GROUP BY 1)
 """
@@ -773,7 +779,9 @@ f AS (SELECT id, arg_min(t, struct_pack(a := ns, b := sequence)) AS t, arg_min(p
 
 @query("r13_followed_signals", FOLLOWED + "SELECT s.id, coalesce(f.t, CASE WHEN n.m >= s.z THEN 'expired' ELSE 'watching' END) AS status, coalesce(f.ns, CASE WHEN f.t IS NULL AND n.m >= s.z THEN s.z END) AS at_ns, f.price FROM s LEFT JOIN f USING (id) JOIN (SELECT instrument, max(ns) AS m FROM q GROUP BY 1) n ON n.instrument = s.symbol")
 def followed(spark, sf_dir):
-    b = hours(spark, sf_dir).filter(F.col("bucket") % (6 * HOUR) == 0)
+    """Every bar's close as a signal, followed for four hours from the bar's end; those of a
+    symbol overlap."""
+    b = hours(spark, sf_dir)
     s = b.select(F.concat_ws("-", "instrument", "bucket").alias("id"), F.col("instrument").alias("symbol"), (F.col("bucket") + HOUR).alias("reference_ns"), (F.col("bucket") + 5 * HOUR).alias("horizon_ns"), F.lit("BUY").alias("side"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.1).alias("target"))
     return L.follow_signals(s, ticks(spark, sf_dir).filter(B.valid_tick()).withColumnRenamed("instrument", "symbol"))
 

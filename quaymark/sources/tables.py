@@ -11,10 +11,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a new temporary folder where it is unset."""
+    """What ``spark.checkpoint.dir`` names. Where it is unset, a new temporary folder in local
+    mode (tests); an error on a cluster, whose executors would not share that folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="quaymark-tables-")

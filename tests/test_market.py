@@ -347,7 +347,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc"])
+@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
     import os
