@@ -7,8 +7,13 @@ with one multiplier for each constraint the document falls under, and the multip
 minimise the convex dual. Newton's method finds them: each iteration is one distributed
 sum over the corpus's cells (token totals by constraint values, which Spark aggregates
 first), and only totals of constraints come to the driver: at most ``MAX_CONSTRAINTS``.
+With more sources than that nothing comes to the driver: sources are numbered in ranges,
+the capped targets are reshared by sums over the table of sources, and as each document
+falls under one constraint alone, the dual falls apart into one equation a source, whose
+Newton steps are a column expression.
 
-Rates then become whole copies. Within a source, documents are dealt into buckets by hash
+Rates then become whole copies. Rows with the same id and text are counted and dealt in
+lots of at most ``LOT``, all others alone. Within a source, lots are dealt into buckets by hash
 (about ``BUCKET`` documents each, so a hot source becomes many groups); a bucket goes from
 the largest document to the smallest and gives each the number of copies that brings the
 words taken so far closest to the rate times the words seen so far. What is left over at
@@ -26,12 +31,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, materialize, read_table
 
 CAP = 3.0
 BUCKET = 4096
-MAX_CONSTRAINTS = 4096
+LOT = 256
+MAX_CONSTRAINTS = 4096  # on the driver
+STEPS = 60
 WEIGHTS = (1, 2, 3)
 
 
@@ -53,7 +61,7 @@ def capped_targets(sizes: list[int], weights: list[float], cap: float = CAP) ->
     return target
 
 
-def entropy_balance(cells: DataFrame, constraints: list[str], targets: dict[str, dict], steps: int = 60, tol: float = 1e-12) -> dict[str, dict]:
+def entropy_balance(cells: DataFrame, constraints: list[str], targets: dict[str, dict], steps: int = STEPS, tol: float = 1e-12) -> dict[str, dict]:
     """Multipliers of the dual. ``cells`` has the constraint columns and ``size``;
     ``targets[column][value]`` are the tokens wanted. Each iteration sums the tokens that
     the current rates give, by value and by pair of values, in Spark."""
@@ -131,10 +139,54 @@ def repaired(sizes: np.ndarray, copies: np.ndarray, target: float, cap: int, ste
     return copies
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, bucket: int = BUCKET) -> DataFrame:
+def planned(cells: DataFrame, cap: float = CAP, bucket: int = BUCKET, most: int = MAX_CONSTRAINTS) -> DataFrame:
+    """(source, source_size, target, rate, buckets) of ``cells`` (source, size, n)."""
+    if cells.limit(most + 1).count() > most:
+        return planned_apart(cells, cap, bucket)
+    # Python orders texts by code point
+    found = sorted(cells.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+    weights = [WEIGHTS[k % len(WEIGHTS)] for k in range(len(found))]
+    target = dict(zip([r["source"] for r in found], capped_targets([r["size"] for r in found], weights, cap), strict=True))
+    lam = entropy_balance(cells, ["source"], {"source": target})["source"] if found else {}
+    rows = [(r["source"], r["size"], float(target[r["source"]]), float(min(cap, np.exp(lam[r["source"]]))) if target[r["source"]] > 0 else 0.0, max(1, -(-r["n"] // bucket))) for r in found]
+    return F.broadcast(cells.sparkSession.createDataFrame(rows, "source string, source_size long, target double, rate double, buckets long"))  # at most that many rows
+
+
+def planned_apart(cells: DataFrame, cap: float = CAP, bucket: int = BUCKET) -> DataFrame:
+    """The same for any number of sources, as Spark jobs over their table."""
+    order = [F.col("source").asc_nulls_last()]
+    ranged = cells.repartitionByRange(max(1, cells.count() // (16 * MAX_CONSTRAINTS)), *order).withColumn("part", F.spark_partition_id())
+    inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    inside = materialize(inside, "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = inside.groupBy("part").agg(F.count("*").alias("rows")).withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("base") + F.col("k")) % len(WEIGHTS) + 1).cast("int"))
+    held = materialize(inside.join(parts.select("part", "base"), "part").select("source", "size", "n", weight.alias("weight")), "weights")
+    capped, level = F.lit(False), 0.0
+    while True:  # targets are level * weight, or the cap's; the level only rises, so what is capped stays so
+        left, whole, fixed = held.agg(
+            F.sum("size"), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))), F.sum(F.when(capped, cap * F.col("size")).otherwise(0.0))
+        ).first()
+        if not whole:
+            break
+        level = (left - fixed) / whole
+        over = F.lit(level) * F.col("weight") > cap * F.col("size")
+        if held.filter(over & ~capped).isEmpty():
+            break
+        capped = over
+    target = F.when(capped, cap * F.col("size")).otherwise(F.lit(level) * F.col("weight"))
+    tokens = lambda x: F.col("size") * F.exp(x)
+    newton = lambda x, _: x - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (tokens(x) - F.col("target")) / tokens(x)))
+    power = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), newton)
+    rate = F.when((F.col("target") > 0) & (F.col("size") > 0), F.least(F.lit(float(cap)), F.exp(power))).otherwise(0.0)
+    out = held.withColumn("target", target.cast("double")).withColumn("rate", rate)
+    out = out.select("source", F.col("size").alias("source_size"), "target", "rate", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("long").alias("buckets"))
+    return materialize(out, "plan")  # written, so that Spark can split a hot source in the join
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, bucket: int = BUCKET, most: int = MAX_CONSTRAINTS) -> DataFrame:
     """One row per input row: id, ``size``, ``source_size``, ``target``, ``taken``,
     ``copies``, ``rate`` and ``text_hash`` (of the raw text)."""
-    spark = docs.sparkSession
     rows = materialize(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
@@ -144,23 +196,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "sizes",
     )
     cells = materialize(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "cells")
-    if cells.limit(MAX_CONSTRAINTS + 1).count() > MAX_CONSTRAINTS:
-        raise ValueError(f"more than {MAX_CONSTRAINTS} sources")
-    # Python orders texts by code point
-    found = sorted(cells.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
-    weights = [WEIGHTS[k % len(WEIGHTS)] for k in range(len(found))]
-    target = dict(zip([r["source"] for r in found], capped_targets([r["size"] for r in found], weights, cap), strict=True))
-    lam = entropy_balance(cells, ["source"], {"source": target})["source"] if found else {}
-    plan = spark.createDataFrame(
-        [(r["source"], r["size"], float(target[r["source"]]), float(min(cap, np.exp(lam[r["source"]]))) if target[r["source"]] > 0 else 0.0, max(1, -(-r["n"] // bucket))) for r in found],
-        "source string, source_size long, target double, rate double, buckets long",
-    )
-    dealt = rows.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # at most MAX_CONSTRAINTS rows
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "text_hash"), F.col("buckets")))
+    plan = planned(cells, cap, bucket, most).withColumnRenamed("source", "s")
+    lots = rows.groupBy("source", "id", "text_hash", "size").agg(F.count("*").alias("alike"))  # copies meet in tasks first
+    lots = lots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(alike - 1) div {LOT}L"))))
+    lots = lots.withColumn("alike", F.least(F.lit(LOT), F.col("alike") - F.col("lot") * LOT))
+    dealt = lots.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    hashed = F.when(F.col("lot") == 0, F.xxhash64("id", "text_hash")).otherwise(F.xxhash64("id", "text_hash", "lot"))
+    dealt = dealt.withColumn("bucket", F.pmod(hashed, F.col("buckets")))
     limit = int(cap)
 
     def give(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "id", "text_hash"], ascending=[False, True, True], kind="stable")
+        frame = frame.loc[frame.index.repeat(frame["alike"])].sort_values(["size", "id", "text_hash"], ascending=[False, True, True], kind="stable")
         frame["copies"] = round_copies(frame["size"].to_numpy(), float(frame["rate"].iloc[0]), limit) if len(frame) else 0
         frame["taken"] = frame["copies"] * frame["size"]
         return frame

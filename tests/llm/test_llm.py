@@ -260,6 +260,32 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert (a["taken"] <= 3 * a["size"]).all()
 
 
+def test_mix_plans_many_sources_as_few(spark):
+    """The plan over any number of sources is that of the driver's, ties, nulls and empty sources included."""
+    rng = random.Random(3)
+    rows = [(None if k == 7 else f"s{k:04d}" if k % 2 else f"\u00e9{k}", rng.choice([0, 1, 10, 100, 10_000, 1_000_000]), rng.randint(1, 9)) for k in range(60)]
+    cells = spark.createDataFrame(rows, "source string, size long, n long")
+    few, many = ({r["source"]: r for r in p.collect()} for p in (mixing.planned(cells), mixing.planned(cells, most=10)))
+    assert few.keys() == many.keys() and sum(r["source_size"] for r in many.values()) == sum(r[1] for r in rows)
+    for s, r in few.items():
+        assert many[s]["buckets"] == r["buckets"] and many[s]["target"] == pytest.approx(r["target"], rel=1e-9)
+        if r["source_size"]:
+            assert many[s]["rate"] == pytest.approx(r["rate"], rel=1e-6)
+
+
+def test_mix_deals_repeated_rows_in_lots(spark):
+    """A row repeated thousands of times is split over buckets; every row comes back."""
+    rows = [(1, "a b c", "en", "x")] * 3000 + [(k, "w " * (k % 9 + 1), "en", "y") for k in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("size", F.lit("z")).withColumn("bucket", F.lit("z")).withColumn("lot", F.lit("z"))
+    out = mixing.mix(docs, bucket=500)
+    got = out.groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 3000, **{k: 1 for k in range(2, 400)}}
+    for r in out.groupBy("target").agg(F.sum("taken").alias("t")).collect():
+        assert abs(r["t"] - r["target"]) <= 30
+    few = mixing.mix(docs, bucket=500, most=1).groupBy("target").agg(F.sum("taken").alias("t")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 30 for r in few)
+
+
 def test_two_margins_balance(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 20), ("b", "y", 40)], "s string, l string, size long")
     lam = mixing.entropy_balance(cells, ["s", "l"], {"s": {"a": 50.0, "b": 50.0}, "l": {"x": 30.0, "y": 70.0}})
