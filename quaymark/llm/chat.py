@@ -1,21 +1,27 @@
 """Chat formatting by quotation linking.
 
 A message's lines are parsed into its own text and quoted passages: ``>`` marks, as many
-as the passage is deep, with or without spaces. Passages one level deep are what the
-message answers; deeper ones were quoted by that message in turn. Each line of own text
-and of first-level quotation is normalised (white space squeezed, letters lower-cased) and
-hashed. Quoted hashes are joined to the own lines of the conversation: each stands for the
-latest earlier message that has it, and the message that most quoted lines come from is
-the parent (ties: the latest).
+as the passage is deep, with or without spaces; neighbouring lines of one depth are one
+passage. Passages one level deep are what the message answers; deeper ones were quoted by
+that message in turn. Own text and passages are normalised (white space squeezed, letters
+lower-cased) and hashed twice: by lines, and by sentences of the lines joined, which do not
+depend on where lines break, so a passage that was wrapped anew is found too.
+
+A hash quoted at some level is joined to messages of the conversation that hold it one level
+less deep (own text: level 0): each quoted hash stands for the latest earlier message that
+does. Deeper levels are asked for own text as well, which counts only where nothing is found
+at the right level. The message that most quoted hashes come from is the parent (ties: the
+latest). Hashes have 64 bits and are compared within a conversation; texts are not compared.
 
 The conversation is then rebuilt in reply order: a thread starts at a message without a
 parent, and threads stand in the order of their starts, messages of a thread in turn
 order, so each message follows what it answers. Texts carry no quotations any more.
 
-Only lines that are quoted somewhere enter the sorted join, and it makes one row for each
-quoted line, however often a line is repeated. Numbers within a conversation are sums over
-buckets of turns, so a very long conversation is many tasks. Thread roots are found by
-pointer doubling over the replies only.
+Only hashes that are quoted somewhere enter the join, and it makes one row for each
+quoted hash, however often a line is repeated: the latest message before a turn is looked
+up in buckets of turns, what earlier buckets hold being carried from bucket to bucket.
+Numbers within a conversation are sums over buckets of turns, so a very long conversation is
+many tasks. Thread roots are found by pointer doubling over the replies only.
 
 Cases: null or empty texts are messages without text and quotations; a quotation that no
 earlier message holds stays out of the text and links nothing; null roles read ``user``;
@@ -26,6 +32,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pandas as pd
@@ -39,6 +46,8 @@ from .common import materialize, read_table
 BUCKET = 1024
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 _SPACE = re.compile(r"\s+")
+#: A sentence ends at these marks before white space, or at an empty line.
+_END = re.compile(r"(?<=[.!?\u2026\u3002\uff01\uff1f])[\"'\u201d\u2019)\]]*\s+|\n[ \t]*\n")
 #: "On ..., X wrote:" lines announce a quotation and go with it.
 _LEAD = re.compile(r".{0,200}\b(wrote|writes|said)[ \t]*:[ \t]*$")
 
@@ -64,37 +73,67 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63) if line else 0
 
 
+def pieces(text: str) -> set[int]:
+    """Hashes of the lines and of the sentences of a text."""
+    found = {line_hash(x) for x in text.split("\n")}
+    found.update(line_hash(x) for x in _END.split(text))
+    found.discard(0)
+    return found
+
+
+def quotations(quoted: list[tuple[int, str]]) -> dict[int, set[int]]:
+    """The hashes quoted at each level; neighbouring lines of a level are one passage."""
+    out: dict[int, set[int]] = {}
+    for level, lines in itertools.groupby(quoted, key=lambda q: q[0]):
+        out.setdefault(level, set()).update(pieces("\n".join(x for _, x in lines)))
+    return out
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with ``own`` text, own line hashes, first-level quoted hashes and counts."""
+    """Messages with ``own`` text, ``held`` and ``asked`` hashes with their levels, and counts."""
 
     def rows(frames):
         for f in frames:
-            own, lines, quotes, levels = [], [], [], []
+            own, held, asked, levels = [], [], [], []
             for text in f["text"]:
                 mine, quoted = parse(text)
+                passages = quotations(quoted)
                 own.append(mine)
-                lines.append(sorted({h for x in mine.split("\n") if (h := line_hash(x))}))
-                quotes.append(sorted({h for level, x in quoted if level == 1 and (h := line_hash(x))}))
+                held.append([{"level": k, "hash": h} for k, x in sorted({**passages, 0: pieces(mine)}.items()) for h in sorted(x)])
+                # at the level the parent has it; deeper passages also as own text, which is second best
+                ask = {(k - 1, h, 1) for k, x in passages.items() for h in x} | {(0, h, 0) for k, x in passages.items() if k > 1 for h in x}
+                asked.append([{"level": k, "hash": h, "exact": e} for k, h, e in sorted(ask)])
                 levels.append(max((level for level, _ in quoted), default=0))
-            yield f[["conv_id", "turn", "role", "row"]].assign(own=own, lines=lines, quotes=quotes, quote_levels=levels)
+            yield f[["conv_id", "turn", "role", "row"]].assign(own=own, held=held, asked=asked, quote_levels=levels)
 
     kinds = dict(messages.dtypes)
-    return messages.mapInPandas(rows, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, row long, own string, lines array<long>, quotes array<long>, quote_levels int")
+    return messages.mapInPandas(rows, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, row long, own string, held array<struct<level:int,hash:long>>, asked array<struct<level:int,hash:long,exact:int>>, quote_levels int")
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """(row, parent): for each message that quotes an earlier one, that one."""
-    timed = messages.filter("turn IS NOT NULL")
-    quotes = timed.select("conv_id", "turn", "row", F.explode("quotes").alias("hash"), F.lit(0).alias("own"))
-    own = timed.select("conv_id", "turn", "row", F.explode("lines").alias("hash"), F.lit(1).alias("own"))
-    asked = quotes.select(F.col("conv_id").alias("c"), F.col("hash").alias("h")).distinct()
-    own = own.join(asked, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left_semi")
-    # a quotation sorts before own lines of its turn, so what precedes it is earlier
-    past = Window.partitionBy("conv_id", "hash").orderBy("turn", "own", "row").rowsBetween(Window.unboundedPreceding, -1)
-    source = F.last(F.when(F.col("own") == 1, F.struct("turn", "row")), ignorenulls=True).over(past)
-    found = quotes.unionByName(own).withColumn("source", source).filter("own = 0 AND source IS NOT NULL")
-    found = found.groupBy("row", F.col("source.turn").alias("p_turn"), F.col("source.row").alias("parent")).agg(F.count("*").alias("shared"))
-    return found.groupBy("row").agg(F.max(F.struct("shared", "p_turn", "parent")).alias("best")).select("row", F.col("best.parent").alias("parent"))
+    key = ["conv_id", "level", "hash"]
+    timed = messages.filter("turn IS NOT NULL").withColumn("bucket", F.floor(F.col("turn") / BUCKET))
+    quotes = timed.select("conv_id", "turn", "row", "bucket", F.explode("asked").alias("x")).select("conv_id", "turn", "row", "bucket", "x.level", "x.hash", "x.exact", F.lit(0).alias("own"))
+    quotes = materialize(quotes, "quoted")
+    names = quotes.select(*[F.col(c).alias(f"a_{c}") for c in key]).distinct()
+    held = timed.select("conv_id", "turn", "row", "bucket", F.explode("held").alias("x")).select("conv_id", "turn", "row", "bucket", "x.level", "x.hash", F.lit(None).cast("int").alias("exact"), F.lit(1).alias("own"))
+    held = held.join(names, F.col("conv_id").eqNullSafe(F.col("a_conv_id")) & (F.col("level") == F.col("a_level")) & (F.col("hash") == F.col("a_hash")), "left_semi")
+    both = materialize(quotes.unionByName(held), "dealt")
+    mine = F.when(F.col("own") == 1, F.struct("turn", "row"))
+    # a quotation sorts before what its own turn holds, so what precedes it is earlier
+    past = Window.partitionBy(*key, "bucket").orderBy("turn", "own", "row").rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.last(mine, ignorenulls=True).over(past)).filter("own = 0")
+    buckets = both.groupBy(*key, "bucket").agg(F.max(mine).alias("newest"))
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    far = buckets.select(*[F.col(c).alias(f"b_{c}") for c in [*key, "bucket"]], F.last("newest", ignorenulls=True).over(before).alias("far"))
+    far = materialize(far.filter("far IS NOT NULL"), "far")
+    on = F.col("conv_id").eqNullSafe(F.col("b_conv_id"))
+    for c in ("level", "hash", "bucket"):
+        on = on & (F.col(c) == F.col(f"b_{c}"))
+    found = near.join(far, on, "left").withColumn("source", F.coalesce("near", "far")).filter("source IS NOT NULL")
+    found = found.groupBy("row", F.col("source.turn").alias("p_turn"), F.col("source.row").alias("parent")).agg(F.max("exact").alias("exact"), F.count_distinct("hash").alias("shared"))
+    return found.groupBy("row").agg(F.max(F.struct("exact", "shared", "p_turn", "parent")).alias("best")).select("row", F.col("best.parent").alias("parent"))
 
 
 def roots(links: DataFrame) -> DataFrame:

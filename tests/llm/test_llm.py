@@ -576,6 +576,60 @@ def test_quotations_link_and_go(spark):
     assert whole[1].index("Why that?") < whole[1].index("merge sort")
 
 
+def test_quotations_do_not_depend_on_line_breaks_and_levels_link(spark):
+    rows = [
+        (1, 0, "The first point is long. The second point is\nlonger than a line.\n\nA last word"),
+        (1, 1, "An answer that nobody quotes."),
+        (1, 2, "> The second point\n> is longer than\n> a line.\nI disagree."),
+        (1, 3, ">> The second point is longer than a line.\nMe too."),  # as turn 2 quotes it
+        (1, 4, ">>> A last word\nFound in own text alone."),
+        (1, 5, "> Nobody said that.\nSo?"),
+        (2, 0, "I disagree."), (2, 1, "> The first point is long.\nIn another conversation."),
+    ]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in chat.link_quotations(frame).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 2, (1, 4): 0, (1, 5): None, (2, 0): None, (2, 1): None}
+
+
+def brute_parents(rows):
+    """By comparing each quoted hash with all earlier messages of its conversation."""
+    out = {}
+    parsed = [(c, t, *chat.parse(x)) for c, t, x in rows]
+    holds = [{**chat.quotations(q), 0: chat.pieces(own)} for _, _, own, q in parsed]
+    for i, (c, t, _, quoted) in enumerate(parsed):
+        votes = defaultdict(lambda: [0, set()])
+        for level, hashes in chat.quotations(quoted).items():
+            for at, exact in {(level - 1, 1), (0, int(level == 1))}:
+                for h in hashes:
+                    earlier = [(parsed[j][1], j) for j in range(len(rows)) if parsed[j][0] == c and parsed[j][1] < t and h in holds[j].get(at, ())]
+                    if earlier:
+                        vote = votes[max(earlier)]
+                        vote[0] = max(vote[0], exact)
+                        vote[1].add(h)
+        if votes:
+            out[c, t] = max((e, len(hs), turn) for (turn, _), (e, hs) in votes.items())[2]
+    return out
+
+
+@pytest.mark.parametrize("bucket", [4, 1024])
+def test_quotations_match_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(chat, "BUCKET", bucket)
+    rng = random.Random(5)
+    said = ["Yes.", "No.", "A long remark about sorting.", "It is stable.", "Thanks!", "Why is that?"]
+    rows = []
+    for c in range(6):
+        for t in range(30):
+            text = [" ".join(rng.sample(said, 2))]
+            for _ in range(rng.randint(0, 2)):
+                words = " ".join(rng.sample(said, 2)).split()
+                cut, marks = rng.randint(1, len(words)), ">" * rng.randint(1, 3)
+                text.insert(0, f"{marks} {' '.join(words[:cut])}\n{marks} {' '.join(words[cut:])}\n")
+            rows.append((c, t, "\n".join(text)))
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in chat.link_quotations(frame).collect() if r["parent_turn"] is not None}
+    assert got == brute_parents(rows) and len(got) > 50
+
+
 # -- the pipeline ------------------------------------------------------------------------------------------
 
 
