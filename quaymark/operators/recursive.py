@@ -13,12 +13,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 160
 MINIMUM = 60
 CHUNK = 4096
+BLOCK = 2048  # bars of an instrument in a task's group, beside the window before them
 
 
 def scan(step: Callable, *columns: np.ndarray) -> np.ndarray:
@@ -261,14 +262,26 @@ def kernel(bars: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     return pd.concat([keys, frame], axis=1)
 
 
-def with_recursive(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``instrument, bucket`` and the recursive values of each bar with at least 60 bars of
-    history; the instrument's bars (bounded by time, not by ticks) go to one task."""
-    schema = "instrument string, bucket long, " + ", ".join(f"{c} double" for c in OUT)
+def with_recursive(bars: DataFrame, names: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """``instrument, bucket`` and the recursive values (``names``, or all) of each bar with at
+    least 60 bars of history. An instrument's bars are cut into blocks, each with the bars
+    before it that its windows reach back to, so that a long history is many tasks."""
+    names = names or OUT
+    schema = "instrument string, bucket long, " + ", ".join(f"{c} double" for c in names)
     some = bars.select("instrument", "bucket", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
-    out = some.groupBy("instrument").applyInPandas(lambda f: kernel(f), schema)
-    nulled = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in (names or OUT)]
-    return out.select("instrument", "bucket", *nulled)
+    bar = F.row_number().over(Window.partitionBy("instrument").orderBy("bucket")) - 1
+    own, reach = F.expr(f"__bar div {block}"), F.expr(f"(__bar + {WINDOW - 1}) div {block}")
+    newest = F.floor(F.max("__bar").over(Window.partitionBy("instrument")) / block)
+    dealt = some.withColumn("__bar", bar).withColumn("__last", newest)
+    dealt = dealt.withColumn("__block", F.explode(F.sequence(own, F.least(reach, F.col("__last")))))
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        mine = f.loc[f["__bar"] // block == f["__block"], "bucket"]
+        out = kernel(f)
+        return out.loc[out["bucket"].isin(mine), ["instrument", "bucket", *names]]
+
+    out = dealt.groupBy("instrument", "__block").applyInPandas(one, schema)
+    return out.select("instrument", "bucket", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
 
 
 def ema_native(bars: DataFrame, n: int, window: int = WINDOW) -> DataFrame:

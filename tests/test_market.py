@@ -90,6 +90,17 @@ def test_recursive_values_do_not_change_with_the_future_and_restart_in_the_windo
         assert np.allclose(full[c].iloc[219], last[c].iloc[159], equal_nan=True, rtol=1e-9), c
 
 
+@pytest.mark.parametrize("block", [100, 170, 2048])
+def test_recursive_values_do_not_depend_on_blocks(spark, block):
+    b = wave(400)
+    want = R.kernel(b).sort_values("bucket").reset_index(drop=True)
+    got = R.with_recursive(spark.createDataFrame(b), ["rsi", "sar", "prev_ema21"], block).toPandas().sort_values("bucket").reset_index(drop=True)
+    assert list(got.columns) == ["instrument", "bucket", "rsi", "sar", "prev_ema21"]
+    assert (got["bucket"] == want["bucket"]).all()
+    for c in got.columns[2:]:
+        assert np.allclose(got[c].astype(float), want[c], equal_nan=True, rtol=1e-12), c
+
+
 def test_plain_formulas():
     b = wave(160)
     k = R.kernel(b)
