@@ -218,7 +218,7 @@ def series(o: np.ndarray, h: np.ndarray, lo: np.ndarray, c: np.ndarray, v: np.nd
     spread = ema_full(h - lo, 9)
     out["mass"] = rolled(spread / ema_full(spread, 9), 25, np.sum)
     out["mass_bulge"] = rolled(lag(out["mass"]), 10, np.max)
-    have = ~np.isnan(v).any(axis=1, keepdims=True) & (v > 0).all(axis=1, keepdims=True)
+    have = np.logical_and.accumulate(v > 0, axis=1)  # up to each bar: later ones are not known there
     vol = np.where(have, v, np.nan)
     out["force"] = ema_full(change * vol, 13)
     growth = np.where(np.isnan(before), 0.0, zero / np.where(np.isnan(before), 1.0, before))
@@ -229,7 +229,8 @@ def series(o: np.ndarray, h: np.ndarray, lo: np.ndarray, c: np.ndarray, v: np.nd
     out["vpt_signal"] = ema_full(out["vpt"], 21)
     flow = np.where(h > lo, ((c - lo) - (h - c)) / np.where(h > lo, h - lo, 1.0), 0.0)
     out["adl"] = np.cumsum(np.where(have, flow * vol, np.nan), axis=1)
-    out["adl_high"], out["adl_low"] = rolled(lag(out["adl"]), 20, np.max), rolled(lag(out["adl"]), 20, np.min)
+    for name, how in (("adl_high", np.max), ("adl_low", np.min)):
+        out[name] = np.where(have, rolled(lag(out["adl"]), 20, how), np.nan)
     return out
 
 

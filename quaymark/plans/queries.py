@@ -21,6 +21,7 @@ from ..operators import stats as S
 from ..operators import trades as T
 from ..sources.tables import shared_folder, written
 from ..streaming import live as L
+from .recursive_sql import FOLDS, ROUND, recursive_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,7 +212,7 @@ def ema_window(spark, sf_dir):
 def recursive(names: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = R.with_recursive(hours(spark, sf_dir), [n for x in names for n in (x, f"prev_{x}")]).filter(F.col(names[0]).isNotNull())
-        return out.select("instrument", "bucket", *rounded(out, [c for c in out.columns if c not in ("instrument", "bucket")]))
+        return out.select("instrument", "bucket", *[c for n in names for c in rounded(out, [n, f"prev_{n}"], ROUND.get(n, 6))])
 
     return run
 
@@ -238,7 +239,7 @@ RECURSIVE = {
     "i28_elder_ray": ["bulls", "bears"], "i49_tema_zlema": ["tema", "zlema"], "i50_stc": ["stc"], "i52_mass_index": ["mass", "mass_bulge"], "i54_force": ["force"], "i56_volume_indices": ["nvi", "vpt", "adl"], "i57_volume_signals": ["nvi_signal", "vpt_signal", "adl_high", "adl_low"],
 }
 for _name, _columns in RECURSIVE.items():
-    query(_name)(recursive(_columns))
+    query(_name, recursive_sql(_name, BARS, _columns) if _name in FOLDS else None)(recursive(_columns))
 
 
 @query("i33_keltner_trend", BARS + WINDOWED + f""", t AS (SELECT *, {_RANGES} AS tr FROM w WHERE bar >= 60), s AS (SELECT *, {_WILDER.format(v='tr')} AS atr, {ema_sql(20)} AS e20, {ema_sql(21)} AS e21, {ema_sql(50)} AS e50 FROM t)

@@ -90,6 +90,15 @@ def test_recursive_values_do_not_change_with_the_future_and_restart_in_the_windo
         assert np.allclose(full[c].iloc[219], last[c].iloc[159], equal_nan=True, rtol=1e-9), c
 
 
+def test_a_later_bar_without_volume_does_not_reach_back():
+    b = wave(120)
+    before = R.kernel(b)
+    b.loc[110, "volume"] = np.nan
+    after = R.kernel(b)
+    for name in ("force", "nvi", "vpt", "adl", "adl_high"):
+        assert after[name][:110].equals(before[name][:110]) and after[name][110:].isna().all()
+
+
 @pytest.mark.parametrize("block", [100, 170, 2048])
 def test_recursive_values_do_not_depend_on_blocks(spark, block):
     b = wave(400)
@@ -358,7 +367,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts"])
+@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts", "i08_macd", "i09_supertrend", "i11_adx", "i15_parabolic_sar", "i23_kama", "i49_tema_zlema", "i54_force", "i56_volume_indices"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
     import os
