@@ -8,7 +8,7 @@ first. All rules are evaluated in one projection.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +140,26 @@ RULES: list[Rule] = [
     Rule("awesome", *_both(crosses("awesome", "p_awesome", "0"), [UP, BULL], [DOWN, BEAR]), "momentum"),
 ]
 
+# The families, the rules of each (all others are of the first), the rules that ask
+# for real volume, and the bars of history a rule asks for (all others: 60).
+FAMILIES = "trend breakout reversion price-structure volatility session multi-timeframe economic-event microstructure cross-market".split()
+MEMBERS = {
+    "session": "utc-opening-range previous-day-breakout".split(),
+    "volatility": "squeeze nr7-breakout".split(),
+    "multi-timeframe": ["ichimoku"],
+    "price-structure": "breakout-retest two-bar-pullback fractal-breakout failed-breakout engulfing-reclaim inside-bar liquidity-sweep".split(),
+    "reversion": (
+        "regression-reentry cmo-recovery stc-recovery dpo-recovery mass-reversal mfi-recovery reversion rsi-recovery stochastic keltner-reentry cci-recovery williams-recovery fisher-recovery "
+        "ultimate-recovery smi stoch-rsi demarker"
+    ).split(),
+    "breakout": "breakout donchian55 chop-breakout vhf-breakout cmf-breakout adl-breakout".split(),
+}
+VOLUME_RULES = "vwap cmf-breakout force-cross eom-cross nvi-reclaim vpt-cross adl-breakout mfi-recovery".split()
+WARMUP = {"ichimoku": 78, "previous-day-breakout": 160}
+
+_family = {id: family for family, ids in MEMBERS.items() for id in ids}
+RULES = [replace(r, family=_family.get(r.id, FAMILIES[0]), volume=r.id in VOLUME_RULES, warmup=WARMUP.get(r.id, 60)) for r in RULES]
+
 #: Candidates for research: stop 1.4 ATR; both sides true means hold.
 RESEARCH: list[tuple[Rule, float]] = [
     (Rule("rsi2-trend-recovery", ("p_rsi2 <= 10 AND rsi2 > 10 AND rsi2 < 70", "close > ema200", BULL), ("p_rsi2 >= 90 AND rsi2 < 90 AND rsi2 > 30", "close < ema200", BEAR), "reversion", warmup=220), 1.0),

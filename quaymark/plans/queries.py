@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts, times
 from ..operators import bars as B
+from ..operators import features as V
 from ..operators import metrics as M
 from ..operators import recursive as R
 from ..operators import rolling as G
@@ -21,7 +22,7 @@ from ..operators import stats as S
 from ..operators import trades as T
 from ..sources.tables import shared_folder, written
 from ..streaming import live as L
-from .recursive_sql import FOLDS, ROUND, recursive_sql
+from .recursive_sql import FOLDS, ROUND, market_features_sql, recursive_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,6 +280,25 @@ def asof_higher(spark, sf_dir):
     return u.withColumn("higher_close", F.last("h", ignorenulls=True).over(w)).filter("kind = 1").select("instrument", "bucket", "higher_close")
 
 
+# -- readiness and features ---------------------------------------------------------------
+
+
+@query("p08_readiness", STEPS + f""", n AS (SELECT *, row_number() OVER s AS bar, CASE WHEN open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) AND low <= least(open, close) AND coalesce(volume, 0) >= 0 THEN 0 ELSE 1 END AS bad FROM bars WINDOW s AS (PARTITION BY instrument ORDER BY bucket)),
+asked(warmup, volume) AS (VALUES {', '.join(f'({w}, {str(v).lower()})' for w, v in V.requirements())}),
+h AS (SELECT a.instrument, a.bucket, a.bar, q.warmup, q.volume, count(*) FILTER (WHERE b.bar > a.bar - q.warmup AND b.bad = 1) AS bad, count(*) FILTER (WHERE b.bar > a.bar - q.warmup + 1 AND NOT b.step_ok) AS gaps,
+ count(*) FILTER (WHERE b.bar > a.bar - 60 AND coalesce(b.volume, 0) <= 0) AS idle FROM n a CROSS JOIN asked q JOIN n b ON b.instrument = a.instrument AND b.bar BETWEEN a.bar - greatest(q.warmup, 60) + 1 AND a.bar GROUP BY 1, 2, 3, 4, 5)
+SELECT instrument, bucket, warmup, volume, CASE WHEN bar < warmup THEN 'insufficient-history' WHEN bad > 0 OR gaps > 0 THEN 'non-contiguous-history' WHEN volume AND idle > 0 THEN 'real-volume-required' END AS reason FROM h""")
+def ready(spark, sf_dir):
+    return V.readiness(hours(spark, sf_dir), 60)
+
+
+@query("v19_market_features", market_features_sql(STEPS, HOUR))
+def market_vectors(spark, sf_dir):
+    b = written(hours(spark, sf_dir), "bars")
+    v = V.market_features(K.context(b, 60), b, directions(b), 60)
+    return v.select("instrument", "bucket", *rounded(v, V.MARKET))
+
+
 # -- rules ------------------------------------------------------------------------------
 
 
@@ -312,10 +332,11 @@ def research(spark, sf_dir):
 @query("a21_family_summary")
 def families(spark, sf_dir):
     """Rules of each family, those that fired, and their signals; families without any count too."""
-    catalogue = spark.createDataFrame([(r.id, r.family) for r in K.RULES], "rule string, family string")
+    rules = spark.createDataFrame([(r.id, r.family) for r in K.RULES], "rule string, family string")
+    catalogue = spark.createDataFrame([(f,) for f in K.FAMILIES], "family string").join(rules, "family", "left")
     fired = K.signals(K.context(hours(spark, sf_dir), 60)).groupBy("rule").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
     each = catalogue.join(fired, "rule", "left").groupBy("family")
-    return each.agg(F.count("*").alias("rules"), F.count("n").alias("fired"), F.coalesce(F.sum("n"), F.lit(0)).alias("signals"), (F.sum("s") / F.sum("n")).alias("score"))
+    return each.agg(F.count("rule").alias("rules"), F.count("n").alias("fired"), F.coalesce(F.sum("n"), F.lit(0)).alias("signals"), (F.sum("s") / F.sum("n")).alias("score"))
 
 
 @query("k08_trade_examples")
@@ -325,12 +346,46 @@ def examples(spark, sf_dir):
     return t.select("instrument", "bucket", "rule", "family", "way", "cost", "valid", "reason", "status", "y", "ambiguous", "entry_ns", "label_end_ns", *rounded(t, ["net_rr", "net_r"]))
 
 
-def rule_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans entered at the open of the bar after the signal (if that bar follows at once), labelled."""
-    b = hours(spark, sf_dir)
+def directions(b: DataFrame) -> DataFrame:
+    """(instrument, at, direction): the four-hour direction by the time it is known."""
+    return higher(b, 240, 60).select("instrument", (F.col("bucket") + 4 * HOUR).alias("at"), "direction")
+
+
+def considered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, their context, and the signals that the bar after follows at once (``next_open``),
+    with ``rejected``: the rule's history does not suffice, or the coarser direction is opposed."""
+    b = written(hours(spark, sf_dir), "bars")  # read five times below; the ticks are read once
+    ctx = K.context(b, 60)
     follow = b.select("instrument", (F.col("bucket") - HOUR).alias("bucket"), F.col("open").alias("next_open"))
-    fired = K.signals(K.context(b, 60)).join(follow, ["instrument", "bucket"])
-    return T.label(T.plans(fired, quote="next_open").drop("next_open"), b, 60)
+    fired = V.with_direction(V.ready_signals(K.signals(ctx), b, 60).join(follow, ["instrument", "bucket"]), directions(b), 60)
+    opposed = ((F.col("way") == 1) & (F.col("direction") == "DOWN")) | ((F.col("way") == -1) & (F.col("direction") == "UP"))
+    rejected = F.when(F.col("not_ready").isNotNull(), "history").when(opposed, "higher")
+    return b, ctx, fired.withColumn("rejected", rejected).drop("not_ready", "direction")
+
+
+def rule_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of the signals that are not rejected, entered at the next bar's open, labelled."""
+    b, _, fired = considered(spark, sf_dir)
+    chosen = fired.filter("rejected IS NULL").drop("rejected")
+    return T.label(T.plans(chosen, quote="next_open").drop("next_open"), b, 60)
+
+
+@query("k08_rejected_signals")
+def rejected(spark, sf_dir):
+    """Why signals do not become examples: history, coarser direction, or the plan under a cost."""
+    _, _, fired = considered(spark, sf_dir)
+    planned = T.plans(fired, quote="next_open")
+    why = F.coalesce("rejected", F.when(~F.col("valid"), "plan"), F.lit("none"))
+    return planned.groupBy("cost", why.alias("why")).agg(F.count("*").alias("n"))
+
+
+@query("v116_trade_features")
+def trade_vectors(spark, sf_dir):
+    """The feature vector of each valid plan: 34 features, then the 82 of the second version."""
+    b, ctx, fired = considered(spark, sf_dir)
+    planned = T.plans(fired.filter("rejected IS NULL").drop("rejected"), quote="next_open").filter("valid")
+    v = V.trade_features(planned, V.market_features(ctx, b, directions(b), 60), 60)
+    return v.select("instrument", "bucket", "rule", "way", "cost", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
 
 
 @query("k12_ranked_ideas")

@@ -70,8 +70,8 @@ FLOW = "CASE WHEN x[i].h > x[i].l THEN ((x[i].c - x[i].l) - (x[i].h - x[i].c)) /
 GROWTH = "(x[i].c - x[i - 1].c) / x[i - 1].c"
 TRADED = "list_min(list_transform(x, lambda r: coalesce(r.v, 0))) > 0"
 
-#: Digits of columns whose values are in the billions (all others: 6).
-ROUND = {"nvi": 0}
+#: Digits of columns whose values, products over the window, go beyond 1e15 (all others: 6).
+ROUND = {"nvi": -6}
 
 #: indicator -> (folds by name, output columns over the folds' states).
 FOLDS: dict[str, tuple[dict[str, str], dict[str, str]]] = {
@@ -143,3 +143,29 @@ u AS (SELECT instrument, bucket, 0 AS k, x FROM w WHERE bar >= {minimum} UNION A
 f AS (SELECT instrument, bucket, k, x, {', '.join(f'{sql} AS {n}' for n, sql in folds.items())} FROM u),
 o AS (SELECT instrument, bucket, k, {', '.join(f'{out[c]} AS {c}' for c in columns)} FROM f)
 SELECT instrument, bucket, {shown} FROM o GROUP BY 1, 2 HAVING max({columns[0]}) FILTER (WHERE k = 0) IS NOT NULL"""
+
+
+def market_features_sql(steps: str, hour: int) -> str:
+    """The 19 features of a bar: plain frames, folds over the window, and the direction of the
+    last four hours that had ended."""
+    emas = fold({f"e{n}": "x[1].c" for n in (9, 12, 21, 26, 50)}, 1, C, {f"n{n}": mean("e.c", f"s.e{n}", n) for n in (12, 26)},
+                {**{f"e{n}": mean("e.c", f"s.e{n}", n) for n in (9, 21, 50)}, "e12": "n12", "e26": "n26", "g": mean("(n12 - n26)", "s.g", 9)})
+    moves = lambda sign: f"list_avg(list_transform(range(2, 16), lambda i: greatest({sign} * (x[i].c - x[i - 1].c), 0)))"
+    rsi = fold({"g": moves("1"), "l": moves("-1")}, 15, {"y": "x[i].c - x[i - 1].c"}, {}, {"g": "(s.g * 13 + greatest(e.y, 0)) / 14", "l": "(s.l * 13 + greatest(-e.y, 0)) / 14"})
+    of20 = "PARTITION BY instrument ORDER BY bucket ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
+    frame = lambda n, k=0: f"OVER (PARTITION BY instrument ORDER BY bucket ROWS BETWEEN {n - 1 + k} PRECEDING AND {f'{k} PRECEDING' if k else 'CURRENT ROW'})"
+    return f"""{steps}, p AS (SELECT *, row_number() OVER o AS bar, close - lag(close) OVER o AS d, lag(close, 1) OVER o AS c1, lag(close, 4) OVER o AS c4, lag(close, 12) OVER o AS c12, lag(close, 10) OVER o AS c10,
+ greatest(high - low, abs(high - coalesce(lag(close) OVER o, open)), abs(low - coalesce(lag(close) OVER o, open))) AS tr, list(struct_pack(o := open, h := high, l := low, c := close, v := volume)) {frame(160)} AS x FROM bars WINDOW o AS (PARTITION BY instrument ORDER BY bucket)),
+q AS (SELECT *, avg(close) OVER ({of20}) AS m, stddev_pop(close) OVER ({of20}) AS sd, regr_slope(close, bar) OVER ({of20}) AS slope, regr_r2(close, bar) OVER ({of20}) AS fit, var_pop(close) OVER ({of20}) AS spread,
+ CASE WHEN min(volume) {frame(21)} > 0 AND count(volume) {frame(21)} > 0 THEN volume / avg(volume) {frame(20, 1)} END AS vr,
+ coalesce(abs(close - c10) / nullif(sum(abs(d)) {frame(10)}, 0), 0) AS er, 100 * log10(sum(tr) {frame(14)} / nullif(max(high) {frame(14)} - min(low) {frame(14)}, 0)) / log10(14) AS chop FROM p),
+f AS (SELECT *, {emas} AS a, {rsi} AS r, {true_range_mean(14)} AS t FROM q WHERE bar >= 60),
+h AS (SELECT instrument, bucket - bucket % {4 * hour} AS start, arg_max(close, bucket) AS close FROM bars b GROUP BY instrument, b.bucket - b.bucket % {4 * hour} HAVING count(*) = 4),
+l AS (SELECT *, list(close) OVER (PARTITION BY instrument ORDER BY start ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS y FROM h),
+k AS (SELECT instrument, start + {4 * hour} AS known, list_reduce(y, lambda v, c: v + (c - v) * 0.2) AS fast, list_reduce(y, lambda v, c: v + (c - v) * {2 / 22!r}) AS slow, list_reduce(y[:len(y) - 1], lambda v, c: v + (c - v) * 0.2) AS before FROM l WHERE len(y) >= 21),
+z AS (SELECT f.*, CASE WHEN k.fast > k.slow AND k.fast > k.before THEN 1.0 WHEN k.fast < k.slow AND k.fast < k.before THEN -1.0 ELSE 0.0 END AS way, k.known IS NOT NULL AS told FROM f ASOF LEFT JOIN k ON f.instrument = k.instrument AND f.bucket + {hour} >= k.known)
+SELECT instrument, bucket, round((close - c1) / t.a, 6) + 0.0 AS return1_atr, round((close - c4) / t.a, 6) + 0.0 AS return4_atr, round((close - c12) / t.a, 6) + 0.0 AS return12_atr, round((a.e9 - a.e21) / t.a, 6) + 0.0 AS ema_fast_atr, round((a.e21 - a.e50) / t.a, 6) + 0.0 AS ema_slow_atr,
+round((CASE WHEN r.l = 0 THEN CASE WHEN r.g = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + r.g / r.l) END - 50) / 50, 6) + 0.0 AS rsi_centered, round((a.e12 - a.e26 - a.g) / t.a, 6) + 0.0 AS macd_histogram_atr, round(t.a / close, 6) + 0.0 AS atr_fraction,
+round((close - m) / greatest(2 * sd, t.a * 0.1), 6) + 0.0 AS band_position, round(coalesce(ln(1 + vr) - ln(2), 0), 6) + 0.0 AS log_volume_ratio, CASE WHEN vr IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS volume_available, way::DOUBLE AS higher_direction, told::INT::DOUBLE AS higher_available,
+round(er, 6) + 0.0 AS efficiency, round(coalesce(chop / 100, 0), 6) + 0.0 AS choppiness, round(slope / t.a, 6) + 0.0 AS regression_slope_atr, round(CASE WHEN spread * 20 <= 1e-20 THEN 0 ELSE fit END, 6) + 0.0 AS regression_r2, round((close - open) / t.a, 6) + 0.0 AS candle_body_atr,
+round(CASE WHEN high > low THEN (2 * close - high - low) / (high - low) ELSE 0 END, 6) + 0.0 AS close_location FROM z WHERE t.a > 0"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quaymark.functions import texts, times
 from quaymark.operators import bars as B
+from quaymark.operators import features as V
 from quaymark.operators import metrics as M
 from quaymark.operators import recursive as R
 from quaymark.operators import rolling as G
@@ -153,6 +154,31 @@ def test_rules_mirror(spark):
 
 def test_catalogue_is_complete():
     assert len(K.RULES) == 66 and len({r.id for r in K.RULES}) == 66 and len(K.RESEARCH) == 6
+    by_id = {r.id: r for r in K.RULES}
+    assert all(id in by_id for ids in (*K.MEMBERS.values(), K.VOLUME_RULES, K.WARMUP) for id in ids)
+    assert {f: sum(r.family == f for r in K.RULES) for f in K.MEMBERS} == {f: len(ids) for f, ids in K.MEMBERS.items()}
+    assert (by_id["squeeze"].family, by_id["ichimoku"].warmup, by_id["mfi-recovery"].volume, by_id["macd"].family) == ("volatility", 78, True, "trend")
+
+
+def test_readiness_names_the_first_reason(spark):
+    f = wave(150, step=60)
+    f = f[f["bucket"] != 70 * 60 * MIN].reset_index(drop=True)  # a gap after 70 bars
+    f.loc[139, "volume"] = 0.0
+    got = V.readiness(spark.createDataFrame(f), 60).toPandas().set_index(["bucket", "warmup", "volume"])["reason"]
+    at = lambda k, w, v: got.loc[(int(f["bucket"][k]), w, v)]
+    assert at(58, 60, False) == "insufficient-history" and at(59, 60, True) is None
+    assert at(70, 60, False) == "non-contiguous-history" and at(128, 60, False) == "non-contiguous-history" and at(129, 60, False) is None
+    assert at(139, 60, True) == "real-volume-required" and at(139, 60, False) is None and at(148, 160, False) == "insufficient-history"
+
+
+def test_feature_vectors_of_plans(spark):
+    market = spark.createDataFrame([("x", 0, *[float(k + 1) for k in range(19)])], "instrument string, bucket long, " + ", ".join(f"{n} double" for n in V.MARKET))
+    plan = spark.createDataFrame([("x", 0, "ichimoku", "multi-timeframe", -1, 1.5, 100.0, 104.0, 94.0, 2.0)], "instrument string, bucket long, rule string, family string, way int, net_rr double, entry double, stop double, target double, atr double")
+    x = V.trade_features(plan, market, 360).first()["features"]  # entry at 06:00 on a Thursday
+    assert len(x) == 116 and x[:19] == [float(k + 1) for k in range(19)] and x[19:24] == [-1.0, 1.5, 2.0, 3.0, 16.0]
+    assert x[24:34] == [float(f == "multi-timeframe") for f in K.FAMILIES] and x[34:46] == [-x[k] for k in V.ALIGNED]
+    week = 2 * math.pi * 4.25 / 7
+    assert np.allclose(x[46:50], [1.0, 0.0, math.sin(week), math.cos(week)]) and x[50:] == [float(r.id == "ichimoku") for r in K.RULES]
 
 
 # -- labels and selection --------------------------------------------------------------------
@@ -367,7 +393,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts", "i08_macd", "i09_supertrend", "i11_adx", "i15_parabolic_sar", "i23_kama", "i49_tema_zlema", "i54_force", "i56_volume_indices"])
+@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts", "i08_macd", "i09_supertrend", "i11_adx", "i15_parabolic_sar", "i23_kama", "i49_tema_zlema", "i54_force", "i56_volume_indices", "p08_readiness", "v19_market_features"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
     import os
