@@ -299,6 +299,15 @@ def market_vectors(spark, sf_dir):
     return v.select("instrument", "bucket", *rounded(v, V.MARKET))
 
 
+@query("m25_factor_check", BARS + """, r AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket DESC) AS r FROM bars)
+SELECT instrument, max(bucket) AS bucket, round(avg(close), 6) AS mean20, round(stddev_samp(close), 6) AS std20, round(regr_slope(close, -r), 6) AS slope20, round(regr_r2(close, -r), 6) AS r_squared20 FROM r WHERE r <= 20 GROUP BY 1 HAVING count(*) = 20""")
+def factor_check(spark, sf_dir):
+    """Mean, sample deviation, slope and fit of the last 20 closes of each instrument."""
+    out = G.rolling(B.with_steps(hours(spark, sf_dir), 60)).groupBy("instrument").agg(F.max_by(F.struct("bucket", "full", "sma20", "bb_sd", "ols_slope", "ols_r2"), "bucket").alias("n")).select("instrument", "n.*").filter("full >= 20")
+    out = out.select("instrument", "bucket", F.col("sma20").alias("mean20"), (F.col("bb_sd") * F.sqrt(F.lit(20 / 19))).alias("std20"), F.col("ols_slope").alias("slope20"), F.col("ols_r2").alias("r_squared20"))
+    return out.select("instrument", "bucket", *rounded(out, ["mean20", "std20", "slope20", "r_squared20"]))
+
+
 # -- rules ------------------------------------------------------------------------------
 
 
