@@ -71,7 +71,7 @@ GROWTH = "(x[i].c - x[i - 1].c) / x[i - 1].c"
 TRADED = "list_min(list_transform(x, lambda r: coalesce(r.v, 0))) > 0"
 
 #: Digits of columns whose values, products over the window, go beyond 1e15 (all others: 6).
-ROUND = {"nvi": -6}
+ROUND = {"nvi": -6, "nvi_signal": -6}
 
 #: indicator -> (folds by name, output columns over the folds' states).
 FOLDS: dict[str, tuple[dict[str, str], dict[str, str]]] = {
@@ -129,6 +129,12 @@ FOLDS: dict[str, tuple[dict[str, str], dict[str, str]]] = {
         {"s": fold({"n": "1000", "y": "CASE WHEN x[1].h > x[1].l THEN ((x[1].c - x[1].l) - (x[1].h - x[1].c)) / (x[1].h - x[1].l) * x[1].v ELSE 0 END"}, 1, {"gr": GROWTH, "less": "CASE WHEN x[i].v < x[i - 1].v THEN 1 ELSE 0 END", "vol": "x[i].v", "flow": FLOW}, {},
                    {"n": "s.n * (1 + e.less * e.gr)", "p": "s.p + e.vol * e.gr", "y": "s.y + e.flow"})},
         {"nvi": f"CASE WHEN {TRADED} THEN s.n END", "vpt": f"CASE WHEN {TRADED} THEN s.p END", "adl": f"CASE WHEN {TRADED} THEN s.y END"}),
+    "i57_volume_signals": (
+        {"s": fold({"n": "1000", "m": "1000"}, 1, {"gr": GROWTH, "less": "CASE WHEN x[i].v < x[i - 1].v THEN 1 ELSE 0 END", "vol": "x[i].v"}, {"nn": "s.n * (1 + e.less * e.gr)", "np": "s.p + e.vol * e.gr"},
+                   {"n": "nn", "m": mean("nn", "s.m", 21), "p": "np", "q": mean("np", "s.q", 21)}),
+         "l": f"list_transform(range(1, len(x) + 1), lambda i: {FLOW})"},
+        {"nvi_signal": f"CASE WHEN {TRADED} THEN s.m END", "vpt_signal": f"CASE WHEN {TRADED} THEN s.q END",
+         **{f"adl_{side}": f"CASE WHEN {TRADED} THEN list_{how}(list_transform(range(len(x) - 20, len(x)), lambda j: list_sum(l[1:j]))) END" for side, how in (("high", "max"), ("low", "min"))}}),
 }
 
 
