@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from . import ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, url_filter
+from . import ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, search, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quotation_chat": chat.op10_quotation_chat,
+    "op12_lexical_search": search.op12_lexical_search,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_quotation_chat": chat.ORACLE,
+    "op12_lexical_search": search.ORACLE,
 }
