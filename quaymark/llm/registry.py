@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from . import ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, search, url_filter
+from . import alignment, ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, search, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quotation_chat": chat.op10_quotation_chat,
+    "op11_alignment": alignment.op11_alignment,
     "op12_lexical_search": search.op12_lexical_search,
 }
 
