@@ -38,6 +38,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -51,7 +52,7 @@ from .common import materialize, read_table
 TOKENIZER_A = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER_B = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK, FAN = 32_768, 16
-MEMORY = 300_000
+MEMORY = 600_000
 TABLE = 4_000_000
 _safe = re.compile(r"(?<=\S) (?=\S)")
 _doubtful = re.compile(r"\s\s").search
@@ -157,12 +158,13 @@ class Pair:
         self.counts, self.begin, self.keys = array("q"), array("q", [0]), array("q")
 
     def encode(self, words: list[str]) -> list[tuple | None]:
-        """Ids and ends of each word with its space, of A and B; None where bytes differ."""
+        """Ids and ends of each word with its space, of A and B, and whether their tokens are
+        the same; None where bytes differ."""
         out = []
         for word, one, ids_b in zip(words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1)):
             ids_a, raw = one.ids, (" " + word).encode()
             a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            out.append((ids_a, np.cumsum([len(x) for x in a]).tolist(), ids_b, np.cumsum([len(x) for x in b]).tolist()) if raw == b"".join(a) == b"".join(b) else None)
+            out.append((ids_a, list(accumulate(map(len, a))), ids_b, list(accumulate(map(len, b))), a == b) if raw == b"".join(a) == b"".join(b) else None)
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -176,11 +178,19 @@ class Pair:
             part = new[begin : begin + 4096]
             for word, found in zip(part, self.encode(part)):
                 self.known[word] = len(self.texts)
-                groups = groups_of(*found)[0] if found else []
-                keys = [a * self.size_b + b for x, y in groups for a in x for b in y]
-                self.texts.append(";".join(group_text(*g) for g in groups))
-                self.counts.extend((len(found[0]), len(found[2]), len(groups), len(keys)) if found else (-1, 0, 0, 0))
-                self.keys.extend(keys)
+                if not found:
+                    text, counts = "", (-1, 0, 0, 0)
+                elif found[4]:  # token by token
+                    a, b, n = found[0], found[2], len(found[0])
+                    text, counts = ";".join([f"{x}|{y}" for x, y in zip(a, b)]), (n, n, n, n)
+                    self.keys.extend([x * self.size_b + y for x, y in zip(a, b)])
+                else:
+                    groups = groups_of(*found[:4])[0]
+                    keys = [a * self.size_b + b for x, y in groups for a in x for b in y]
+                    text, counts = ";".join([group_text(*g) for g in groups]), (len(found[0]), len(found[2]), len(groups), len(keys))
+                    self.keys.extend(keys)
+                self.texts.append(text)
+                self.counts.extend(counts)
                 self.begin.append(len(self.keys))
 
 
@@ -297,7 +307,7 @@ def _fragments(paths: tuple[str, str]):
                 for found in map(known.__getitem__, words):
                     if found is None:
                         break
-                    for into, what, shift in zip(tokens, found, (0, 1, 0, 1)):
+                    for into, what, shift in zip(tokens, found[:4], (0, 1, 0, 1)):
                         into.extend([x + at for x in what] if shift else what)
                     at += found[1][-1]
                 ok = None not in known.values()
