@@ -187,7 +187,8 @@ def aroon(spark, sf_dir):
 
 
 @query("i36_patterns", STEPS + """, w AS (SELECT *, row_number() OVER s AS bar, lag(high) OVER s < lag(high, 2) OVER s AND lag(low) OVER s > lag(low, 2) OVER s AS inside,
-high - low < min(high - low) OVER (PARTITION BY instrument ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS nr7 FROM bars WINDOW s AS (PARTITION BY instrument ORDER BY bucket))
+high > low AND min(CASE WHEN step_ok THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) = 1
+ AND high - low < min(high - low) OVER (PARTITION BY instrument ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS nr7 FROM bars WINDOW s AS (PARTITION BY instrument ORDER BY bucket))
 SELECT instrument, bucket, inside, nr7 FROM w WHERE bar >= 60""")
 def patterns(spark, sf_dir):
     return G.rolling(B.with_steps(hours(spark, sf_dir), 60)).filter("full >= 60").select("instrument", "bucket", "inside", "nr7")
