@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
@@ -52,7 +51,7 @@ from .common import materialize, read_table
 TOKENIZER_A = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER_B = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK, FAN = 32_768, 16
-MEMORY = 600_000
+MEMORY = 300_000
 TABLE = 4_000_000
 _safe = re.compile(r"(?<=\S) (?=\S)")
 _doubtful = re.compile(r"\s\s").search
@@ -119,7 +118,7 @@ def compose(x: Fragment, y: Fragment, size_b: int) -> Fragment:
     joint = x.suffix[0] + y.prefix[0], x.suffix[1] + y.prefix[1]
     if not y.cut:
         return x._replace(suffix=joint)
-    text, counts, keys, times = closed([joint], size_b)
+    text, counts, keys, times = closed([joint] if joint[0] else [], size_b)
     keys, times = merged(np.concatenate([x.keys, keys, y.keys]), np.concatenate([x.times, times, y.times]))
     return Fragment(
         True, x.prefix, ";".join(t for t in (x.groups, text, y.groups) if t),
@@ -136,62 +135,117 @@ class Pair:
     """Both tokenizers, the bytes of their tokens, and the words this worker has aligned."""
 
     def __init__(self, path_a: str, path_b: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        a.encode_special_tokens = True  # their strings in a text are plain text
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.bytes_a = {i: bytes(byte.get(c, 0x3F) for c in token) for token, i in self.a.get_vocab().items()}
+        self.bytes_a = {i: bytes(byte.get(c, 0x3F) for c in token) for token, i in a.get_vocab().items()}
+        self.encode_a = self._by_ranks(path_a) or (lambda text: a.encode(text, add_special_tokens=False).ids)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_b = len(pieces)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.counts, self.begin, self.keys = array("q"), array("q", [0]), array("q")
-
-    def encode(self, words: list[str]) -> list[tuple | None]:
-        """Ids and ends of each word with its space, of A and B, and whether their tokens are
-        the same; None where bytes differ."""
-        out = []
-        for word, one, ids_b in zip(words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1)):
-            ids_a, raw = one.ids, (" " + word).encode()
-            a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            out.append((ids_a, list(accumulate(map(len, a))), ids_b, list(accumulate(map(len, b))), a == b) if raw == b"".join(a) == b"".join(b) else None)
-        return out
+        self.known: dict[str, int] = {}  # places of words in what follows
+        self.texts, self.counts, self.begin, self.keys, self.used = [], np.zeros((0, 4), np.int64), np.zeros(1, np.int64), NONE, NONE
+
+    def _by_ranks(self, path: str):
+        """A byte-level BPE whose merges are in the order of their ids is a table of ranks,
+        which another encoder of the same ids works through several times faster."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        vocabulary, split = held["model"]["vocab"], held.get("pre_tokenizer") or {}
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in held["model"]["merges"]]
+        if held.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+            return None
+        if [vocabulary[m] for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        special = {t["id"] for t in held.get("added_tokens") or []}
+        ranks = {b: i for i, b in self.bytes_a.items() if i not in special}
+        return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Empty the memory, but for these words."""
+        words = list(self.known) if kept is not None else []
+        kept = NONE if kept is None else kept
+        texts, self.counts, sizes = [self.texts[k] for k in kept] if len(kept) else [], self.counts[kept], np.diff(self.begin)[kept]
+        places = np.repeat(self.begin[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.known = {words[k]: n for n, k in enumerate(kept.tolist())}
+        self.texts, self.keys, self.begin, self.used = texts, self.keys[places], np.r_[0, np.cumsum(sizes)], np.zeros(len(kept), np.int64)
+
+    def encode(self, words: list[str]) -> tuple | None:
+        """Ids and ends of these words, each with its space, one behind the other: of A, of
+        B, and the words' own ends. None where bytes differ."""
+        text = " ".join(words)
+        ids_a, ids_b = self.encode_a(" " + text), self.b.encode(text)
+        a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        if not (" " + text).encode() == b"".join(a) == b"".join(b):
+            return None
+        ends = [list(accumulate(map(len, x))) for x in (a, b, [w.encode() for w in words])]
+        return ids_a, ends[0], ids_b, ends[1], [e + n for n, e in enumerate(ends[2], 1)]
 
     def learn(self, words: set[str]) -> None:
         """Align these words, if they are new, and remember them."""
         new = words - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
-            self.forget()
-            new = words
-        new = list(new)
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            for word, found in zip(part, self.encode(part)):
-                self.known[word] = len(self.texts)
-                if not found:
-                    text, counts = "", (-1, 0, 0, 0)
-                elif found[4]:  # token by token
-                    a, b, n = found[0], found[2], len(found[0])
-                    text, counts = ";".join([f"{x}|{y}" for x, y in zip(a, b)]), (n, n, n, n)
-                    self.keys.extend([x * self.size_b + y for x, y in zip(a, b)])
-                else:
-                    groups = groups_of(*found[:4])[0]
-                    keys = [a * self.size_b + b for x, y in groups for a in x for b in y]
-                    text, counts = ";".join([group_text(*g) for g in groups]), (len(found[0]), len(found[2]), len(groups), len(keys))
-                    self.keys.extend(keys)
-                self.texts.append(text)
-                self.counts.extend(counts)
-                self.begin.append(len(self.keys))
+        if len(self.known) + len(new) > MEMORY:  # those used again, at most half, stay
+            order = np.argsort(-self.used, kind="stable")[: MEMORY // 2]
+            self.forget(np.sort(order[self.used[order] > 1]))
+            new = words - self.known.keys()
+        odd = [w for w in new if w[0].isspace() or w[-1].isspace()]  # not safe beside others
+        plain = list(new.difference(odd))
+        found = [self._aligned(part) for part in ([plain[k : k + 1024] for k in range(0, len(plain), 1024)] + [[w] for w in odd])]
+        for part in found:
+            for names, texts, _, _, _ in part:
+                self.known.update(zip(names, range(len(self.texts), len(self.texts) + len(names))))
+                self.texts += texts
+        parts = [x for part in found for x in part]
+        if parts:
+            self.counts = np.concatenate([self.counts, *(x[2] for x in parts)])
+            self.keys = np.concatenate([self.keys, *(x[3] for x in parts)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate([x[4] for x in parts]))])
+            self.used = np.concatenate([self.used, np.zeros(len(self.counts) - len(self.used), np.int64)])
+
+    def _aligned(self, words: list[str]) -> list[tuple]:
+        """Words with their groups as text, counts (-1: bytes differ), keys of their links
+        and how many these are."""
+        found = self.encode(words)
+        if found is None:  # some word's bytes differ: each alone
+            if len(words) > 1:
+                return [x for w in words for x in self._aligned([w])]
+            return [(words, [""], np.array([[-1, 0, 0, 0]]), NONE, np.zeros(1, np.int64))]
+        ids_a, ends_a, ids_b, ends_b, ends = found
+        a, b = np.array(ids_a), np.array(ids_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        n_a, n_b = (np.bincount(np.searchsorted(cuts, e), minlength=len(cuts)) for e in (ends_a, ends_b))
+        first_a, first_b, links = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
+        group = np.repeat(np.arange(len(cuts)), links)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
+        keys = a[first_a[group] + nth // n_b[group]] * self.size_b + b[first_b[group] + nth % n_b[group]]
+        last = np.searchsorted(cuts, ends, "right")  # groups up to each word's end
+        sums = np.diff(np.stack([np.r_[0, np.cumsum(x)][last] for x in (n_a, n_b, np.ones(len(cuts), np.int64), links)], axis=1), axis=0, prepend=0)
+        texts = [
+            f"{ids_a[i]}|{ids_b[j]}" if m == n == 1 else group_text(ids_a[i : i + m], ids_b[j : j + n])
+            for i, m, j, n in zip(first_a.tolist(), n_a.tolist(), first_b.tolist(), n_b.tolist())
+        ]
+        spans = zip([0, *last.tolist()], last.tolist())
+        return [(words, [";".join(texts[x:y]) for x, y in spans], sums, keys, sums[:, 3])]
+
+    def whole(self, words: list[str]) -> tuple[str, tuple, np.ndarray, np.ndarray] | None:
+        """Text, counts, keys and times of known words in a row; None where bytes differ."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = self.counts[at]
+        if (n[:, 0] < 0).any():
+            return None
+        size = n[:, 3]
+        places = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keys, times = np.unique(self.keys[places], return_counts=True)
+        np.add.at(self.used, at, 1)
+        return ";".join(map(self.texts.__getitem__, at.tolist())), tuple(n.sum(axis=0).tolist()), keys, times
 
 
 _pairs: dict[tuple, Pair] = {}
@@ -264,19 +318,14 @@ def _short(paths: tuple[str, str]):
                 part = frame.iloc[begin : begin + 256]
                 words = [words_of(t) if t else [] for t in part["text"]]
                 pair.learn({w for ws in words for w in ws})
-                counts, begins, keys = np.array(pair.counts, np.int64).reshape(-1, 4), np.array(pair.begin, np.int64), np.array(pair.keys, np.int64)
                 rows = []
                 for row, name, ws in zip(part["row_id"], part["id"], words):
-                    at = np.fromiter(map(pair.known.__getitem__, ws), np.int64, len(ws))
-                    n = counts[at]
-                    if not len(at) or (n[:, 0] < 0).any():
+                    found = pair.whole(ws) if ws else None
+                    if found is None:
                         rows.append((row, name, 0, 0, 0, 0, "", b"", b""))
-                        continue
-                    size = n[:, 3]
-                    places = np.repeat(begins[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    found, times = np.unique(keys[places], return_counts=True)
-                    text = ";".join(map(pair.texts.__getitem__, at.tolist()))
-                    rows.append((row, name, *n.sum(axis=0).tolist(), hashlib.sha256(text.encode()).hexdigest(), *packed(found, times)))
+                    else:
+                        text, counts, keys, times = found
+                        rows.append((row, name, *counts, hashlib.sha256(text.encode()).hexdigest(), *packed(keys, times)))
                 yield pd.DataFrame(rows, columns=_names(ALIGNED))
 
     return align
@@ -302,16 +351,25 @@ def _fragments(paths: tuple[str, str]):
         for frame in frames:
             for row, name, pos, text, lo, hi in zip(frame["row_id"], frame["id"], frame["pos"], frame["words"], frame["lo"], frame["hi"]):
                 words = words_of(text)
-                known = dict(zip(new := list(set(words)), pair.encode(new)))
-                tokens, at = ([], [], [], []), 0
-                for found in map(known.__getitem__, words):
-                    if found is None:
-                        break
-                    for into, what, shift in zip(tokens, found[:4], (0, 1, 0, 1)):
-                        into.extend([x + at for x in what] if shift else what)
-                    at += found[1][-1]
-                ok = None not in known.values()
-                yield pd.DataFrame([_as_row(row, name, pos, ok, fragment(*tokens, lo, hi, pair.size_b) if ok else EMPTY)], columns=_names(FRAGMENT))
+                ends = list(accumulate(1 + len(w.encode()) for w in words))
+                inside = [k for k, (a, b) in enumerate(zip([0, *ends], ends)) if lo <= a and b <= hi]
+                pair.learn({words[k] for k in inside})
+
+                def cut_word(k: int) -> Fragment | None:
+                    begin, found = ends[k - 1] if k else 0, pair.encode([words[k]])
+                    return fragment(*found[:4], lo - begin, hi - begin, pair.size_b) if found else None
+
+                last, parts = len(words) - 1, []
+                if 0 not in inside:
+                    parts.append(cut_word(0))
+                if inside:  # whole words: cuts on both sides, all groups closed
+                    found = pair.whole([words[k] for k in inside])
+                    parts.append(Fragment(True, ([], []), *found, ([], [])) if found else None)
+                if last > 0 and last not in inside:
+                    parts.append(cut_word(last))
+                ok = None not in parts
+                x = reduce(lambda u, v: compose(u, v, pair.size_b), parts, EMPTY) if ok else EMPTY
+                yield pd.DataFrame([_as_row(row, name, pos, ok, x)], columns=_names(FRAGMENT))
 
     return encode
 

@@ -18,12 +18,15 @@ PIECES = ["the ", "Über", " ", "  ", "\n", "\t ", "a", "éé", "漢字", "🙂"
 
 def plain(rows):
     """Each text encoded whole; all counts by dictionaries."""
-    pair = al.loaded(al.TOKENIZER_A, al.TOKENIZER_B)
+    from tokenizers import Tokenizer
+
+    pair, tokenizer = al.loaded(al.TOKENIZER_A, al.TOKENIZER_B), Tokenizer.from_file(al.TOKENIZER_A)
+    tokenizer.encode_special_tokens = True
     docs, count = [], Counter()
     for i, text in rows:
         groups = []
         if text:
-            a = pair.a.encode(" " + text, add_special_tokens=False).ids
+            a = tokenizer.encode(" " + text, add_special_tokens=False).ids
             b = pair.b.encode(text)
             raw = (" " + text).encode()
             if b"".join(pair.bytes_a[x] for x in a) == raw == b"".join(pair.bytes_b[x] for x in b):
@@ -105,3 +108,22 @@ def test_fragments_are_open_where_a_range_cuts_a_word():
     parts = [(words, lo, hi) for words, lo, hi in al.ranges("some words here " * 20, 10)]
     assert any(lo > 0 for _, lo, _ in parts) and any(hi < len(words) for words, _, hi in parts)
     assert reduce(lambda n, p: n + p[2] - p[1], parts, 0) == 321
+
+
+def test_ranks_give_the_tokenizer_s_ids_and_memory_forgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(al.TOKENIZER_A)
+    tokenizer.encode_special_tokens = True
+    pair = al.Pair(al.TOKENIZER_A, al.TOKENIZER_B)
+    texts = odd_texts(1500, 11)
+    assert [pair.encode_a(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = {t: pair.whole(al.words_of(t)) for t in texts[:200] if not pair.learn(set(al.words_of(t)))}
+    monkeypatch.setattr(al, "MEMORY", 40)
+    for t in texts[:200]:
+        pair.learn(set(al.words_of(t)))
+        got = pair.whole(al.words_of(t))
+        assert (got is None) == (want[t] is None)
+        if got:
+            assert got[:2] == want[t][:2] and got[2].tolist() == want[t][2].tolist() and got[3].tolist() == want[t][3].tolist()
+    assert len(pair.known) < 100
