@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from . import alignment, ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, quality, search, url_filter
+from . import alignment, ann, chat, exact_dedup, langid, lm, mixing, near_dedup, packing, pii, quality, search, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quotation_chat": chat.op10_quotation_chat,
     "op11_alignment": alignment.op11_alignment,
     "op12_lexical_search": search.op12_lexical_search,
+    "op13_personal_data": pii.op13_personal_data,
 }
 
 ORACLES = {
