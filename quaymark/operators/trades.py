@@ -2,17 +2,16 @@
 
 The label of a trade is a look ahead over at most ``MAX_BARS`` bars. Bars carry their next
 bars as one array (a window over the instrument's bars), so a plan finds its outcome
-without a range join. What is sequential by nature (one position at a time) is a fold per
-instrument, rule and cost.
+without a range join. One position at a time is a chain of links (``selection``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import MINUTE
+from .selection import non_overlapping, nth_values
 
 MAX_BARS = 16
 COSTS = (1.0, 1.5, 2.0)
@@ -104,36 +103,16 @@ def label_join(planned: DataFrame, bars: DataFrame, minutes: int, max_bars: int
     return seen.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("instrument", "bucket", "rule", "cost").agg(F.min_by("kind", "k").alias("status"))
 
 
-def non_overlapping(trades: DataFrame, keys: list[str], entry: str = "entry_ns", end: str = "label_end_ns", strict: bool = True) -> DataFrame:
-    """Within each key, trades in order of entry; one is kept if it enters after the last
-    kept one ended (at its end too, unless ``strict``)."""
-
-    def keep(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([entry, *[c for c in ("rule",) if c in f and c not in keys]], kind="stable")
-        busy, rows = None, []
-        for k, (a, b) in enumerate(zip(f[entry], f[end], strict=True)):
-            if busy is None or a > busy or (not strict and a == busy):
-                busy = b
-                rows.append(k)
-        return f.iloc[rows]
-
-    return trades.filter(F.col(end).isNotNull()).groupBy(*keys).applyInPandas(keep, trades.schema)
-
-
 def one_position(trades: DataFrame, keys: list[str]) -> DataFrame:
     """One-position backtest: the next trade only after the last one's exit bar."""
     return non_overlapping(trades, keys, strict=False)
 
 
 def split_times(trades: DataFrame, shares: tuple[float, ...] = (0.5, 0.75), time: str = "entry_ns") -> list[int]:
-    """Entry times at the given shares of the distinct entry times, in order. Ranks come
-    from exact counts per range of times, so no task holds all of them."""
-    times = trades.select(time).distinct()
-    n = times.count()
-    if not n:
-        return [0 for _ in shares]
-    wanted = [min(n - 1, int(n * s)) / max(1, n - 1) for s in shares]
-    return [int(x) for x in times.agg(F.percentile(time, [min(1.0, w) for w in wanted]).alias("p")).first()["p"]]
+    """Entry times at the given shares of the distinct entry times, in order, by counts per
+    range of times."""
+    n = trades.select(time).distinct().count()
+    return nth_values(trades, time, [int(n * s) for s in shares])
 
 
 def purged_split(trades: DataFrame, minutes: int, shares: tuple[float, float] = (0.5, 0.75), embargo_bars: int = MAX_BARS) -> DataFrame:
