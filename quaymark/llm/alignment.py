@@ -146,7 +146,10 @@ class Pair:
         self.encode_a = self._by_ranks(path_a) or (lambda text: a.encode(text, add_special_tokens=False).ids)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size_b = len(pieces)
+        self.size_b, self.sizes_b = len(pieces), np.array(list(map(len, self.bytes_b)))
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, token in self.bytes_a.items():
+            self.sizes_a[i] = len(token)
         self.known: dict[str, int] = {}  # places of words in what follows
         self.texts, self.counts, self.begin, self.keys, self.used = [], np.zeros((0, 4), np.int64), np.zeros(1, np.int64), NONE, NONE
 
@@ -182,12 +185,11 @@ class Pair:
         """Ids and ends of these words, each with its space, one behind the other: of A, of
         B, and the words' own ends. None where bytes differ."""
         text = " ".join(words)
-        ids_a, ids_b = self.encode_a(" " + text), self.b.encode(text)
-        a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if not (" " + text).encode() == b"".join(a) == b"".join(b):
+        ids_a, ids_b, raw = self.encode_a(" " + text), self.b.encode(text), (" " + text).encode()
+        if not raw == b"".join(map(self.bytes_a.__getitem__, ids_a)) == b"".join(map(self.bytes_b.__getitem__, ids_b)):
             return None
-        ends = [list(accumulate(map(len, x))) for x in (a, b, [w.encode() for w in words])]
-        return ids_a, ends[0], ids_b, ends[1], [e + n for n, e in enumerate(ends[2], 1)]
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        return ids_a, np.cumsum(self.sizes_a[ids_a]), ids_b, np.cumsum(self.sizes_b[ids_b]), ends
 
     def learn(self, words: set[str]) -> None:
         """Align these words, if they are new, and remember them."""
@@ -349,11 +351,12 @@ def _fragments(paths: tuple[str, str]):
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair = loaded(*paths)
         for frame in frames:
-            for row, name, pos, text, lo, hi in zip(frame["row_id"], frame["id"], frame["pos"], frame["words"], frame["lo"], frame["hi"]):
-                words = words_of(text)
+            parted = [words_of(t) for t in frame["words"]]
+            for at, (row, name, pos, words, lo, hi) in enumerate(zip(frame["row_id"], frame["id"], frame["pos"], parted, frame["lo"], frame["hi"])):
+                if at % 16 == 0:
+                    pair.learn({w for ws in parted[at : at + 16] for w in ws})
                 ends = list(accumulate(1 + len(w.encode()) for w in words))
                 inside = [k for k, (a, b) in enumerate(zip([0, *ends], ends)) if lo <= a and b <= hi]
-                pair.learn({words[k] for k in inside})
 
                 def cut_word(k: int) -> Fragment | None:
                     begin, found = ends[k - 1] if k else 0, pair.encode([words[k]])
