@@ -4,19 +4,22 @@ A text is its words (A-Z lower-cased, split at white space); equal word sequence
 node from the start. A node's k-mers are its runs of ``K`` words, each labelled with how
 often it occurred before, so repeats count. Each of ``SKETCHES`` hash functions picks the
 ``PICK`` k-mers with the smallest hashes and keeps them in text order; that ordered pick is
-one value (Order MinHash). Texts of at most ``SHORT`` words, where a few edits may touch every
-k-mer, have their rarest pairs of neighbouring words as values too: an edit touches at most
-two pairs, so texts that match share one of each one's first ``2 * (1 - SIMILARITY)`` of them
-plus two in any fixed order.
+one value (Order MinHash). Where a text of at most ``SHORT`` words may be in a pair, edits at the
+threshold may touch nearly every k-mer, and sketches alone would miss one pair in ten. So texts
+up to ``SHORT / SIMILARITY`` words (the longest that match one of ``SHORT``) have their rarest
+pairs of neighbouring words as values too: an edit touches at most two pairs, so texts that
+match share one of each one's first ``2 * (1 - SIMILARITY)`` of them plus two in any fixed
+order. No such pair is missed, and ``FEW`` sketches do for texts up to ``SHORT``.
 
 Nodes that share a value are a bucket. No bucket emits its pairs. First all its members are
 compared with one of them, its leader; the matches link nodes into classes. Similarity is
 not transitive, so that is not the end: wherever the rest of a bucket (the members without
 the leader, matched or not) lies in more than one class, every two members of different
 classes are compared. Buckets of at most ``SMALL`` nodes do that in one task each. Larger
-ones are dealt anew by ``AGAIN`` MinHash values of neighbouring words, which texts that match
-share with near certainty (at the threshold all but one pair in 2000) and which part texts
-that only a common passage brought together. What is still large is compared in blocks of
+ones are dealt anew: texts up to ``SHORT / SIMILARITY`` words by the pairs of words that are
+rarest among them, which again misses none; longer ones than ``SHORT`` by ``AGAIN`` MinHash values
+of neighbouring words, which long texts that match share with near certainty (at the threshold
+all but one pair in 1000). Both part texts that only a common passage brought together. What is still large is compared in blocks of
 twice ``SMALL`` nodes, without those of one class. So nothing is capped, no unbounded group has
 to fit into one task, and members of one class are not compared with each other.
 
@@ -48,7 +51,8 @@ PICK = 2
 SKETCHES = 72
 SIMILARITY = 0.8
 SMALL = 512
-SHORT = 64  # words
+SHORT = 150  # words
+FEW = 24  # sketches of texts up to that
 AGAIN = 12  # values by which large buckets are dealt anew
 ALONE = 10_000  # links
 LISTED = 65536  # pairs of words more frequent than one in so many are known by their counts, so there are at most so many
@@ -163,6 +167,11 @@ def _allowed(n: float, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+def _partner(similarity: float) -> int:
+    """Words of the longest text that matches one of ``SHORT`` words."""
+    return int(SHORT / similarity + 1e-9)
+
+
 def _alike(a: tuple[list, set], b: tuple[list, set], most: int) -> bool:
     (x, u), (y, v) = a, b
     if abs(len(x) - len(y)) > most or len(u - v) > most or len(v - u) > most:  # each word that the other lacks is an edit
@@ -191,9 +200,11 @@ def _node(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, pick: int) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, pick: int, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (row, id, raw_sha, digest, n, sketch, short). The sketch, and the labelled pairs of
-    words of a short text, stand only where a task meets a word sequence first."""
+    words of a text up to ``SHORT / similarity`` words, stand only where a task meets a word
+    sequence first."""
+    partner = _partner(similarity)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(frames):
@@ -210,8 +221,8 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int,
                     if len(memo) > 300_000:
                         memo.clear()
                     hashed = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                    value = sketch(labelled(hashed, k), sketches, pick)
-                    if len(words) <= SHORT:
+                    value = sketch(labelled(hashed, k), min(FEW, sketches) if len(words) <= SHORT else sketches, pick)
+                    if len(words) <= partner:
                         short = labelled(hashed, 2).view(np.int64)
                 digests.append(digest)
                 sizes.append(len(words))
@@ -420,11 +431,15 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
 
     def keys(frames):
         for f in frames:
+            f = f.loc[[len(x) > 4 * SHORT for x in f["words"]]]
             seqs = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in f["words"]]
-            yield pd.DataFrame({"node": f["node"], "keys": [sketch(labelled(_mix(x), 2), AGAIN, 1) for x in seqs]})
+            if seqs:
+                yield pd.DataFrame({"node": f["node"], "keys": [sketch(labelled(_mix(x), 2), AGAIN, 1) for x in seqs]})
 
     again = words.join(large, "node").select("node", "words").mapInPandas(keys, "node long, keys array<long>")
-    dealt = mixed(relabelled(again.select("node", F.explode("keys").alias("key")), maps), "dealt")
+    rare = by_rare_pairs(materialize(short.join(large, "node", "left_semi"), "crowded"), similarity)
+    again = again.select("node", F.explode("keys").alias("key")).unionByName(rare)
+    dealt = mixed(relabelled(again, maps), "dealt")
     found = materialize(solve(few(dealt), words, similarity), "across")
     large = dealt.filter(F.col("size") > small)
     if not large.isEmpty():
@@ -457,7 +472,7 @@ def classes(edges: DataFrame) -> list[DataFrame]:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, pick: int = PICK, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, ``group_id`` (smallest id of its class), ``group_size``,
     ``kept`` (one row of each class) and ``raw_sha``."""
-    rows = materialize(sketched(docs, id_col, text_col, k, sketches, pick), "sketches")
+    rows = materialize(sketched(docs, id_col, text_col, k, sketches, pick, similarity), "sketches")
     # the first row of each word sequence; xxhash64 maps different longs to different longs
     ids = materialize(rows.groupBy("digest").agg(F.min("row").alias("first")).withColumn("node", F.xxhash64("first")), "nodes")
     nodes = rows.filter("sketch IS NOT NULL").withColumn("node", F.xxhash64("row"))

@@ -143,7 +143,7 @@ def classes_of_pairs(rows, sketched, every=False):
 
     for a, sa, na in sketched:
         for b, sb, nb in sketched:
-            if a < b and (every or na <= near_dedup.SHORT and nb <= near_dedup.SHORT or set(sa) & set(sb)) and find(a) != find(b) and near_dedup.same(seqs[a], seqs[b]):
+            if a < b and (every or max(na, nb) <= near_dedup.SHORT / 0.8 or set(sa) & set(sb)) and find(a) != find(b) and near_dedup.same(seqs[a], seqs[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return partition({i: find(i) for i in seqs})
@@ -228,6 +228,39 @@ def test_near_dedup_finds_short_texts_with_a_word_changed_in_the_middle(spark):
     assert out == {k: k // 2 * 2 for k in range(60)}
 
 
+@pytest.mark.parametrize("small", [512, 16])
+def test_near_dedup_misses_no_pair_at_the_threshold_up_to_the_filter_s_length(spark, small):
+    rng, rows, truth = random.Random(8), [], set()
+    for n in (5, 10, 30, 64, 65, 66, 80, 100, 120, 149, 150):
+        for _ in range(12):
+            base = [f"w{rng.randrange(400)}" for _ in range(n)]
+            longer = int(n / 0.8) if rng.random() < 0.5 else n  # words added, or changed
+            words = list(base)
+            if longer > n:
+                for _ in range(longer - n):
+                    words.insert(rng.randrange(len(words) + 1), f"x{rng.random()}")
+            else:
+                for at in rng.sample(range(n), int(0.2 * n)):
+                    words[at] = f"x{rng.random()}"
+            truth.add(frozenset((len(rows), len(rows) + 1)))
+            rows += [(len(rows), " ".join(base), "s"), (len(rows) + 1, " ".join(words), "s")]
+    labels, _ = found_classes(spark, rows, sketches=near_dedup.SKETCHES, small=small)
+    assert partition(labels) == truth
+
+
+def test_near_dedup_classes_of_many_short_copies_are_those_of_all_pairs(spark):
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(12, 30)):
+            words[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(words), "s"))
+    labels, sketched = found_classes(spark, rows, sketches=near_dedup.SKETCHES)
+    assert partition(labels) == classes_of_pairs(rows, sketched, every=True)
+
+
 def test_near_dedup_edges(spark):
     out = near_dedup.near_dedup(texts(spark, edge_rows())).collect()
     assert len(out) == len(edge_rows())
