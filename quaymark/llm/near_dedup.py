@@ -16,10 +16,11 @@ compared with one of them, its leader; the matches link nodes into classes. Simi
 not transitive, so that is not the end: wherever the rest of a bucket (the members without
 the leader, matched or not) lies in more than one class, every two members of different
 classes are compared. Buckets of at most ``SMALL`` nodes do that in one task each. Larger
-ones are dealt anew: texts up to ``SHORT / SIMILARITY`` words by the pairs of words that are
-rarest among them, which again misses none; longer ones than ``SHORT`` by ``AGAIN`` MinHash values
-of neighbouring words, which long texts that match share with near certainty (at the threshold
-all but one pair in 1000). Both part texts that only a common passage brought together. What is still large is compared in blocks of
+ones are dealt anew: texts up to ``TINY / SIMILARITY`` words by the pairs of words that are
+rarest among them, which again misses none; longer ones than ``TINY`` by ``AGAIN`` MinHash values
+of neighbouring words, which texts of that length that match share with near certainty (at the
+threshold all but one pair in 5000). Both part texts that only a common passage brought
+together. What is still large is compared in blocks of
 twice ``SMALL`` nodes, without those of one class. So nothing is capped, no unbounded group has
 to fit into one task, and members of one class are not compared with each other.
 
@@ -53,7 +54,8 @@ SIMILARITY = 0.8
 SMALL = 512
 SHORT = 150  # words
 FEW = 24  # sketches of texts up to that
-AGAIN = 12  # values by which large buckets are dealt anew
+TINY = 64  # words; in large buckets the filter is for texts up to that and their partners
+AGAIN = 16  # values by which longer texts of large buckets are dealt anew
 ALONE = 10_000  # links
 LISTED = 65536  # pairs of words more frequent than one in so many are known by their counts, so there are at most so many
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,9 +169,9 @@ def _allowed(n: float, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def _partner(similarity: float) -> int:
-    """Words of the longest text that matches one of ``SHORT`` words."""
-    return int(SHORT / similarity + 1e-9)
+def _partner(similarity: float, words: int = SHORT) -> int:
+    """Words of the longest text that matches one of ``words``."""
+    return int(words / similarity + 1e-9)
 
 
 def _alike(a: tuple[list, set], b: tuple[list, set], most: int) -> bool:
@@ -267,7 +269,7 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
 
 
 def by_rare_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(node, key): rows (node, n, tokens: labelled pairs of words) dealt by the first pairs, of
+    """(node, label, key): rows (node, label, n, tokens: labelled pairs of words) dealt by the first pairs, of
     which texts that match share one, from the rarest. Any fixed order would do; this one is
     by the counts of the pairs with a share of 1 / ``LISTED`` or more, then by hash. Of texts of
     n and m >= n words that match, the pairs shared are m - 1 - 2 e or more (e: the edits that m
@@ -288,15 +290,17 @@ def by_rare_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
     def first(frames):
         known, counts = sent.value
         for f in frames:
-            nodes, keys = [], []
-            for node, n, x in zip(f["node"], f["n"], f["tokens"], strict=True):
+            nodes, labels, keys = [], [], []
+            for node, label, n, x in zip(f["node"], f["label"], f["n"], f["tokens"], strict=True):
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                 order = np.lexsort((x, np.where(known[at] == x, counts[at], 0)))[: 2 * _allowed(n, similarity) + 2]
                 nodes.append(np.full(len(order), node))
+                labels.append(np.full(len(order), label))
                 keys.append(x[order])
-            yield pd.DataFrame({"node": np.concatenate(nodes), "key": np.concatenate(keys)} if nodes else {"node": [], "key": []}, dtype="int64")
+            if nodes:
+                yield pd.DataFrame({"node": np.concatenate(nodes), "label": np.concatenate(labels), "key": np.concatenate(keys)}, dtype="int64")
 
-    return tokens.mapInPandas(first, "node long, key long")
+    return tokens.mapInPandas(first, "node long, label long, key long")
 
 
 def mixed(members: DataFrame, label: str) -> DataFrame:
@@ -410,7 +414,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
     """The classes of the ``nodes`` (node, digest, n, sketch, short) by verified links, as tables
     (node, label) that lead on from label to label (see ``relabelled``)."""
     short = nodes.filter("short IS NOT NULL").select("node", "n", F.col("short").alias("tokens"))
-    members = nodes.select("node", F.explode("sketch").alias("key")).unionByName(by_rare_pairs(short, similarity))
+    members = nodes.select("node", F.explode("sketch").alias("key")).unionByName(by_rare_pairs(short.withColumn("label", F.col("node")), similarity).select("node", "key"))
     lead = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
     lead = materialize(lead.select("key", "leader"), "leaders")  # written, so that Spark can split a hot bucket in the join
     asked = materialize(members.join(lead, "key").select("key", "node", "leader"), "asked")
@@ -425,21 +429,22 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
         return maps
     few = lambda x: x.filter(F.col("size") <= small).withColumn("own", F.lit(0).cast("long"))
     maps += classes(materialize(solve(few(rest), words, similarity), "solved"))
-    large = materialize(rest.filter(F.col("size") > small).select("node").distinct(), "large")
+    # labels are told once a node and go with its keys
+    large = materialize(relabelled(rest.filter(F.col("size") > small).select("node").distinct(), maps), "large")
     if large.isEmpty():
         return maps
 
     def keys(frames):
         for f in frames:
-            f = f.loc[[len(x) > 4 * SHORT for x in f["words"]]]
+            f = f.loc[[len(x) > 4 * TINY for x in f["words"]]]
             seqs = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in f["words"]]
             if seqs:
-                yield pd.DataFrame({"node": f["node"], "keys": [sketch(labelled(_mix(x), 2), AGAIN, 1) for x in seqs]})
+                yield pd.DataFrame({"node": f["node"], "label": f["label"], "keys": [sketch(labelled(_mix(x), 2), AGAIN, 1) for x in seqs]})
 
-    again = words.join(large, "node").select("node", "words").mapInPandas(keys, "node long, keys array<long>")
-    rare = by_rare_pairs(materialize(short.join(large, "node", "left_semi"), "crowded"), similarity)
-    again = again.select("node", F.explode("keys").alias("key")).unionByName(rare)
-    dealt = mixed(relabelled(again, maps), "dealt")
+    again = words.join(large, "node").select("node", "label", "words").mapInPandas(keys, "node long, label long, keys array<long>")
+    tiny = materialize(short.filter(F.col("n") <= _partner(similarity, TINY)).join(large, "node"), "crowded")
+    rare = by_rare_pairs(tiny, similarity)
+    dealt = mixed(again.select("node", "label", F.explode("keys").alias("key")).unionByName(rare), "dealt")
     found = materialize(solve(few(dealt), words, similarity), "across")
     large = dealt.filter(F.col("size") > small)
     if not large.isEmpty():
