@@ -39,21 +39,21 @@ def _grouped(rows: DataFrame, keys: list[str], value: str, order: str, fn, schem
 
 
 def stationary_bootstrap(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", reps: int = 2000, block: float = 4.0, seed: int = 71421, least: int = 30) -> DataFrame:
-    """95 % interval of the mean with random block lengths of mean ``block``."""
+    """95 % interval of the mean with random block lengths of mean ``block``. The draws come one
+    by one from one seeded sequence: a start, then for each further value whether a new block
+    begins, and if so where."""
 
     def one(x: np.ndarray):
         n = len(x)
         if n < least:
             return n, float(x.mean()) if n else None, None, None
-        rng = np.random.default_rng(seed)
-        means = np.empty(reps)
+        rng, means, at = np.random.default_rng(seed), np.empty(reps), np.empty(n, np.int64)
         for r in range(reps):
-            new = rng.random(n) < 1 / block
-            new[0] = True
-            starts = rng.integers(n, size=n)
-            at = np.flatnonzero(new)
-            run = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-            means[r] = x[(np.repeat(starts[at], np.diff(np.append(at, n))) + run) % n].mean()
+            now = at[0] = int(rng.integers(n))
+            for i in range(1, n):
+                now = int(rng.integers(n)) if rng.random() < 1 / block else (now + 1) % n
+                at[i] = now
+            means[r] = x[at].mean()
         low, high = np.quantile(means, [0.025, 0.975])
         return n, float(x.mean()), float(low), float(high)
 
@@ -84,29 +84,6 @@ def block_bootstrap(rows: DataFrame, keys: list[str], value: str = "net_r", orde
     return _grouped(rows, keys, value, order, one, "n long, mean double, low double, high double, p double")
 
 
-def moving_blocks(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", reps: int = 400, block: int = 3, seed: int = 20261013, least: int = 20) -> DataFrame:
-    """Interval from blocks drawn by the congruential sequence; ends at floor(.025 n) and
-    ceil(.975 n) - 1 of the sorted means."""
-
-    def one(x: np.ndarray):
-        n = len(x)
-        if n < least:
-            return n, None, None
-        rng, means = Congruential(seed), []
-        for _ in range(reps):
-            s, got = 0.0, 0
-            while got < n:
-                at = int(rng.next() * n)
-                for j in range(min(block, n - got)):
-                    s += x[(at + j) % n]
-                got += block
-            means.append(s / n)
-        means.sort()
-        return n, float(means[int(0.025 * reps)]), float(means[int(np.ceil(0.975 * reps)) - 1])
-
-    return _grouped(rows, keys, value, order, one, "n long, low double, high double")
-
-
 def path_risk(rows: DataFrame, keys: list[str], value: str = "net_r", order: str = "entry_ns", paths: int = 800, risk: float = 0.01, block: float = 3.0, seed: int = 97) -> DataFrame:
     """Compounded resampled paths: 5 %, 50 %, 95 % of final equity and of the drawdown in
     percent, and of the longest losing streak."""
@@ -167,9 +144,11 @@ def softmax(scores: Column, temperature: float = 1.0) -> Column:
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, rate: float = 0.12, ridge: float = 0.01) -> np.ndarray:
-    """Multinomial logistic weights (last row: intercepts) by full-batch descent."""
+    """Multinomial logistic weights (last row: intercepts, from the log of the class shares)
+    by full-batch descent."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros((x1.shape[1], classes))
+    w[-1] = np.log(np.maximum(np.bincount(y, minlength=classes) / len(y), 1e-300))
     target = np.eye(classes)[y]
     for i in range(steps):
         z = x1 @ w
@@ -177,7 +156,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, ra
         p /= p.sum(axis=1, keepdims=True)
         g = x1.T @ (p - target) / len(x)
         g[:-1] += ridge * w[:-1]
-        w -= rate / (1 + i / steps) * g
+        w -= rate / (1 + i / 400) * g
     return w
 
 
@@ -217,18 +196,32 @@ def discriminant_scores(model: dict, x: np.ndarray) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, classes: int, hidden: int = 8, steps: int = 160, rate: float = 0.02, ridge: float = 1e-3, seed: int = 7) -> list[np.ndarray]:
-    """One hidden tanh layer, trained by Adam on all rows."""
-    rng = np.random.default_rng(seed)
-    p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, classes)), np.zeros(classes)]
+def seeded_uniform(seed: int, n: int) -> np.ndarray:
+    """The first ``n`` numbers in [0, 1) of a 32-bit counter sequence with mixing (fixed values)."""
+    m, out = 0xFFFFFFFF, []
+    for k in range(1, n + 1):
+        t = (seed + k * 0x6D2B79F5) & m
+        t = (t ^ t >> 15) * (t | 1) & m
+        t ^= t + ((t ^ t >> 7) * (t | 61) & m) & m
+        out.append(((t ^ t >> 14) & m) / 4294967296)
+    return np.array(out)
+
+
+def fit_network(x: np.ndarray, y: np.ndarray, classes: int, hidden: int = 8, steps: int = 160, rate: float = 0.015, ridge: float = 0.01, seed: int = 137799) -> list[np.ndarray]:
+    """One hidden tanh layer, trained by Adam on all rows; weights start uniform within
+    sqrt(6 / (in + out)), output intercepts at the log of the class shares."""
+    d = x.shape[1]
+    u = 2 * seeded_uniform(seed, hidden * (d + classes)) - 1
+    share = np.log(np.maximum(np.bincount(y, minlength=classes) / len(y), 1e-300))
+    p = [(u[: hidden * d] * np.sqrt(6 / (d + hidden))).reshape(hidden, d).T, np.zeros(hidden), (u[hidden * d :] * np.sqrt(6 / (hidden + classes))).reshape(classes, hidden).T, share]
     m, v, target = [0 * q for q in p], [0 * q for q in p], np.eye(classes)[y]
     for t in range(1, steps + 1):
         h = np.tanh(x @ p[0] + p[1])
         z = h @ p[2] + p[3]
         q = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (q / q.sum(axis=1, keepdims=True) - target) / len(x)
-        dh = (d @ p[2].T) * (1 - h * h)
-        for k, g in enumerate([x.T @ dh + ridge * p[0], dh.sum(axis=0), h.T @ d + ridge * p[2], d.sum(axis=0)]):
+        d_out = (q / q.sum(axis=1, keepdims=True) - target) / len(x)
+        dh = (d_out @ p[2].T) * (1 - h * h)
+        for k, g in enumerate([x.T @ dh + ridge * p[0], dh.sum(axis=0), h.T @ d_out + ridge * p[2], d_out.sum(axis=0)]):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
@@ -239,37 +232,57 @@ def network_scores(p: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.tanh(x @ p[0] + p[1]) @ p[2] + p[3]
 
 
-def fit_stumps(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 32, rate: float = 0.1) -> list[tuple]:
-    """Boosted stumps: each round and class takes the cut, among octiles, that fits the
-    softmax residuals best."""
-    scores, out, target = np.zeros((len(x), classes)), [], np.eye(classes)[y]
-    cuts = [np.unique(np.quantile(x[:, j], np.arange(1, 8) / 8)) for j in range(x.shape[1])]
+def fit_stumps(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 32, rate: float = 0.08, least: int = 12, l2: float = 1.0) -> tuple[list[float], list[tuple]]:
+    """Boosted stumps: log class shares, and (class, feature, cut, left, right) of each round
+    and class. A cut lies halfway between two values near an octile, with ``least`` rows on
+    both sides; leaves are Newton steps within 2, times ``rate``; without a cut that gains the
+    feature is -1 and both leaves are the whole step."""
+    n, target = len(x), np.eye(classes)[y]
+    cuts = []
+    for j in range(x.shape[1]):
+        v, used = np.sort(x[:, j], kind="stable"), set()
+        for at in (n * q // 8 for q in range(1, 8)):
+            while 0 < at < n and v[at] == v[at - 1]:
+                at += 1
+            if least <= at <= n - least and at not in used:
+                used.add(at)
+                cuts.append((j, float((v[at - 1] + v[at]) / 2)))
+    left = np.stack([x[:, j] <= c for j, c in cuts]).astype(float) if cuts else np.zeros((0, n))
+    base = np.log(np.maximum(np.bincount(y, minlength=classes) / n, 1e-300))
+    scores, out = np.tile(base, (n, 1)), []
     for _ in range(rounds):
         q = np.exp(scores - scores.max(axis=1, keepdims=True))
-        residual = target - q / q.sum(axis=1, keepdims=True)
+        q /= q.sum(axis=1, keepdims=True)
         for k in range(classes):
-            r, best = residual[:, k], None
-            for j in range(x.shape[1]):
-                for c in cuts[j]:
-                    left = x[:, j] <= c
-                    n = left.sum()
-                    if 0 < n < len(x):
-                        a, b = r[left].mean(), r[~left].mean()
-                        gain = n * a * a + (len(x) - n) * b * b
-                        if best is None or gain > best[0] + 1e-15:
-                            best = (gain, j, c, a, b)
-            if best:
-                _, j, c, a, b = best
-                scores[:, k] += rate * np.where(x[:, j] <= c, a, b)
-                out.append((k, j, float(c), float(rate * a), float(rate * b)))
+            g, h = target[:, k] - q[:, k], np.maximum(1e-8, q[:, k] * (1 - q[:, k]))
+            whole, curve = g.sum(), h.sum()
+            best, gain = (-1, 0.0, whole / (curve + l2), whole / (curve + l2)), whole * whole / (curve + l2)
+            gl, hl = left @ g, left @ h
+            for (j, c), a, b in zip(cuts, gl, hl):
+                one = a * a / (b + l2) + (whole - a) ** 2 / (curve - b + l2)
+                if one > gain + 1e-12:
+                    gain, best = one, (j, c, a / (b + l2), (whole - a) / (curve - b + l2))
+            j, c, a, b = best
+            a, b = rate * min(2.0, max(-2.0, a)), rate * min(2.0, max(-2.0, b))
+            scores[:, k] += np.where(x[:, j] <= c, a, b) if j >= 0 else a
+            out.append((k, j, c, float(a), float(b)))
+    return base.tolist(), out
+
+
+def stump_values(model: tuple[list[float], list[tuple]], x: np.ndarray) -> np.ndarray:
+    base, stumps = model
+    out = np.tile(np.array(base), (len(x), 1))
+    for k, j, cut, left, right in stumps:
+        out[:, k] += np.where(x[:, j] <= cut, left, right) if j >= 0 else left
     return out
 
 
-def stump_scores(stumps: list[tuple], features: list[str], classes: int) -> Column:
+def stump_scores(model: tuple[list[float], list[tuple]], features: list[str]) -> Column:
     """Scores as one array column: sums of comparisons, no Python in the scan."""
-    sums: list[Column] = [F.lit(0.0)] * classes
+    base, stumps = model
+    sums: list[Column] = [F.lit(b) for b in base]
     for k, j, cut, left, right in stumps:
-        sums[k] = sums[k] + F.when(F.col(features[j]) <= cut, left).otherwise(right)
+        sums[k] = sums[k] + (F.when(F.col(features[j]) <= cut, left).otherwise(right) if j >= 0 else F.lit(left))
     return F.array(*sums)
 
 
@@ -302,26 +315,41 @@ def tree_scores(tree: dict, features: list[str]) -> Column:
     return F.when(missing, left if tree.get("default_left", True) else right).when(ok, left).otherwise(right)
 
 
+def neighbour_votes(x: np.ndarray, y: np.ndarray, share: np.ndarray, queries: np.ndarray, k: int, prior: float = 3.0) -> np.ndarray:
+    """Chances of the classes from the ``k`` nearest rows: weights 1 / (1 + distance) made to
+    sum to ``k``, then ``prior`` rows dealt by class share. Ties go to the earlier row."""
+    out = np.empty((len(queries), len(share)))
+    step = max(1, 2_000_000 // max(1, x.size))
+    for at in range(0, len(queries), step):
+        d = np.sqrt(((queries[at : at + step, None, :] - x[None]) ** 2).sum(axis=2))
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        w = 1 / (1 + np.take_along_axis(d, near, axis=1))
+        w *= near.shape[1] / w.sum(axis=1, keepdims=True)
+        votes = np.stack([np.where(y[near] == c, w, 0).sum(axis=1) for c in range(len(share))], axis=1)
+        out[at : at + step] = (votes + prior * share) / (near.shape[1] + prior)
+    return out
+
+
 def nearest_classes(train: DataFrame, queries: DataFrame, k: int = 15, classes: int = 3, prior: int = 3) -> DataFrame:
-    """Weighted nearest neighbours: weight 1 / (1 + distance), ``prior`` pseudo-rows dealt
-    by class share. Ties go to the earlier training row. Training rows are at most
-    ``FIT_ROWS`` by contract (checked) and broadcast; queries stay where they are."""
+    """Weighted nearest neighbours on features standardised by the training rows and clipped
+    to 5 deviations (see ``neighbour_votes``). Training rows are at most ``FIT_ROWS`` by
+    contract (checked) and broadcast; queries stay where they are."""
     rows = train.select(F.col("id").alias("t_id"), F.col("features").alias("t_features"), F.col("class").alias("t_class")).orderBy("t_id").limit(FIT_ROWS + 1).collect()
     if len(rows) > FIT_ROWS:
         raise ValueError(f"more than {FIT_ROWS} training rows")
+    if not rows:
+        return queries.select("id", F.array(*[F.lit(1.0 / classes)] * classes).alias("p"))
     x, y = np.array([r["t_features"] for r in rows], np.float64), np.array([r["t_class"] for r in rows])
-    share = np.array([(y == c).mean() for c in range(classes)]) if len(y) else np.full(classes, 1 / classes)
-    sent = train.sparkSession.sparkContext.broadcast((x, y, share))
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    put = lambda v: np.clip((v - mean) / scale, -5, 5)
+    share = np.array([(y == c).mean() for c in range(classes)])
+    sent = train.sparkSession.sparkContext.broadcast((put(x), y, share))
 
     def vote(frames):
         x, y, share = sent.value
         for f in frames:
-            out = []
-            for q in f["features"]:
-                d = np.sqrt(((x - np.asarray(q, np.float64)) ** 2).sum(axis=1))
-                near = np.argsort(d, kind="stable")[:k]
-                w = np.bincount(y[near], 1 / (1 + d[near]), classes) + prior * share
-                out.append(w / w.sum())
-            yield pd.DataFrame({"id": f["id"], "p": out})
+            if len(f):
+                q = put(np.stack(f["features"].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"id": f["id"], "p": list(neighbour_votes(x, y, share, q, k, prior))})
 
     return queries.select("id", "features").mapInPandas(vote, "id long, p array<double>")

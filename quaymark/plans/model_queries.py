@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import boosting as X
+from ..operators import decisions as D
 from ..operators import features as V
+from ..operators import resample as H
 from ..operators import rules as K
 from ..operators import selection as Z
+from ..operators import trades as T
 from ..sources.tables import written
 from .queries import BARS, HOUR, TRADES, bracket_trades, directions, hours, market_vectors, query, rounded
 
@@ -93,3 +96,31 @@ def examples_of_bars(spark, sf_dir: str) -> DataFrame:
 def model_search(spark, sf_dir):
     out = X.model_search(written(examples_of_bars(spark, sf_dir), "examples"), 16 * HOUR, ["instrument", "rule", "cost"], QUERY_VARIANTS)
     return out.select("stage", "name", "n", *rounded(out, ["brier", "baseline", "a", "b"]))
+
+
+# -- intervals and the class model ----------------------------------------------------------
+
+
+@query("m04_core_interval")
+def core_interval(spark, sf_dir):
+    """95 % intervals of the mean net R of trades taken one at a time."""
+    t = Z.non_overlapping(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"])
+    out = H.core_interval(t, ["instrument", "rule", "cost"])
+    return out.select("instrument", "rule", "cost", "n", *rounded(out, ["mean", "low", "high"]))
+
+
+def class_samples(spark, sf_dir: str) -> DataFrame:
+    """Each bar's 19 features and the class of the next four hours against the ATR and the cost."""
+    b = written(hours(spark, sf_dir), "bars")
+    v = V.market_features(K.context(b, 60), b, directions(b), 60)
+    rows = D.numbered(b).join(v, ["instrument", "bucket"])
+    rows = rows.withColumn("features", F.array(*[F.col(n) for n in V.MARKET])).select("instrument", "bucket", "bar", "bars", "features", F.col(V.MARKET[7]).alias("atr_share"))
+    labelled = T.class_label(b.join(rows.select("instrument", "bucket", "atr_share"), ["instrument", "bucket"], "left"), 60, D.neutral_band(F.col("atr_share"), F.col("close")), D.HORIZON)
+    return rows.drop("atr_share").join(labelled.select("instrument", "bucket", "class"), ["instrument", "bucket"])
+
+
+@query("m19_model_choice")
+def model_choice(spark, sf_dir):
+    out = D.class_models(written(class_samples(spark, sf_dir), "samples"))
+    names = ["temperature", "brier", "log_loss", "adjusted_brier", "test_brier", "test_log_loss", "test_accuracy"]
+    return out.select("instrument", "place", "algorithm", "setting", "n", "selected", "test_n", F.transform("bias", lambda b: F.round(b, 6)).alias("bias"), *rounded(out, names))

@@ -16,6 +16,7 @@ from ..operators import bars as B
 from ..operators import features as V
 from ..operators import metrics as M
 from ..operators import recursive as R
+from ..operators import resample as H
 from ..operators import rolling as G
 from ..operators import rules as K
 from ..operators import stats as S
@@ -542,7 +543,7 @@ def m02(spark, sf_dir):
 
 @query("m03_moving_blocks")
 def m03(spark, sf_dir):
-    return S.moving_blocks(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"])
+    return H.moving_blocks(bracket_trades(spark, sf_dir), ["instrument", "rule", "cost"])
 
 
 @query("m05_path_risk")
@@ -675,10 +676,7 @@ def race(spark, sf_dir):
             return S.discriminant_scores(model, z)
         if name == "network":
             return S.network_scores(model, z)
-        out = np.zeros((len(z), CLASSES))
-        for k, j, cut, left, right in model:
-            out[:, k] += np.where(z[:, j] <= cut, left, right)
-        return out
+        return S.stump_values(model, z)
 
     def run(frames):
         for f in frames:

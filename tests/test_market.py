@@ -20,6 +20,7 @@ from quaymark.operators import metrics as M
 from quaymark.operators import recursive as R
 from quaymark.operators import rolling as G
 from quaymark.operators import rules as K
+from quaymark.operators import resample as H
 from quaymark.operators import stats as S
 from quaymark.operators import trades as T
 from quaymark.plans import queries as Q
@@ -366,12 +367,14 @@ def test_registered_resampling_runs_as_often_as_its_operators(monkeypatch):
     seen = {}
     monkeypatch.setattr(Q, "bracket_trades", lambda spark, sf_dir: None)
     for name in ("block_bootstrap", "moving_blocks", "path_risk"):
-        def record(*a, _name=name, _of=inspect.signature(getattr(S, name)), **b):
+        home = H if name == "moving_blocks" else S
+
+        def record(*a, _name=name, _of=inspect.signature(getattr(home, name)), **b):
             call = _of.bind(*a, **b)
             call.apply_defaults()
             seen[_name] = call.arguments.get("reps", call.arguments.get("paths"))
 
-        monkeypatch.setattr(S, name, record)
+        monkeypatch.setattr(home, name, record)
     for name in ("m02_block_bootstrap", "m03_moving_blocks", "m05_path_risk"):
         entry.queries()[name](None, "")
     assert seen == {"block_bootstrap": 4999, "moving_blocks": 400, "path_risk": 800}
