@@ -12,6 +12,7 @@ from ..operators import resample as H
 from ..operators import rules as K
 from ..operators import selection as Z
 from ..operators import trades as T
+from ..operators import triggers as R
 from ..sources.tables import written
 from .queries import BARS, HOUR, TRADES, bracket_trades, directions, hours, market_vectors, query, rounded
 
@@ -124,3 +125,11 @@ def model_choice(spark, sf_dir):
     out = D.class_models(written(class_samples(spark, sf_dir), "samples"))
     names = ["temperature", "brier", "log_loss", "adjusted_brier", "test_brier", "test_log_loss", "test_accuracy"]
     return out.select("instrument", "place", "algorithm", "setting", "n", "selected", "test_n", F.transform("bias", lambda b: F.round(b, 6)).alias("bias"), *rounded(out, names))
+
+
+@query("k02_setup_triggers")
+def setup_triggers(spark, sf_dir):
+    """Of each instrument's every bar and rule: the next close at which its crossing happens."""
+    b = written(hours(spark, sf_dir), "bars")
+    out = R.setup_triggers(b, 60, K.context(b, 60))
+    return out.select("instrument", "bucket", "rule", "side", "mode", *rounded(out, ["price", "reference"]))
