@@ -5,11 +5,13 @@ node from the start. A node's k-mers are its runs of ``K`` words, each labelled
 often it occurred before, so repeats count. Each of ``SKETCHES`` hash functions picks the
 ``PICK`` k-mers with the smallest hashes and keeps them in text order; that ordered pick is
 one value (Order MinHash). Where a text of at most ``SHORT`` words may be in a pair, edits at the
-threshold may touch nearly every k-mer, and sketches alone would miss one pair in ten. So texts
-up to ``SHORT / SIMILARITY`` words (the longest that match one of ``SHORT``) have their rarest
-pairs of neighbouring words as values too: an edit touches at most two pairs, so texts that
-match share one of each one's first ``2 * (1 - SIMILARITY)`` of them plus two in any fixed
-order. No such pair is missed, and ``FEW`` sketches do for texts up to ``SHORT``.
+threshold may touch nearly every k-mer, and sketches alone would miss one pair in ten. So such
+texts and their partners (a text matches none longer than ``1 / SIMILARITY`` times its words)
+have their rarest runs of ``w`` neighbouring words as values too: an edit touches at most ``w``
+runs, so texts that match share one of each one's first ``w * (1 - SIMILARITY)`` of them plus
+``w`` in any fixed order. Texts up to ``TINY`` words and their partners do so with pairs, longer
+ones with runs of three, which texts that do not match hardly share. No such pair is missed,
+and ``FEW`` sketches do for texts up to ``SHORT``.
 
 Nodes that share a value are a bucket. No bucket emits its pairs. First all its members are
 compared with one of them, its leader; the matches link nodes into classes. Similarity is
@@ -54,7 +56,7 @@ SIMILARITY = 0.8
 SMALL = 512
 SHORT = 150  # words
 FEW = 24  # sketches of texts up to that
-TINY = 64  # words; in large buckets the filter is for texts up to that and their partners
+TINY = 64  # words; up to that pairs of words tell, beyond it runs of three
 AGAIN = 16  # values by which longer texts of large buckets are dealt anew
 ALONE = 10_000  # links
 LISTED = 65536  # pairs of words more frequent than one in so many are known by their counts, so there are at most so many
@@ -203,38 +205,41 @@ def _node(words: list[bytes]) -> bytes:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, pick: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (row, id, raw_sha, digest, n, sketch, short). The sketch, and the labelled pairs of
-    words of a text up to ``SHORT / similarity`` words, stand only where a task meets a word
-    sequence first."""
-    partner = _partner(similarity)
+    """Rows (row, id, raw_sha, digest, n, sketch, short, run). The sketch, and the labelled pairs
+    (``short``) and runs of three words (``run``) of texts that the filter is for, stand only where
+    a task meets a word sequence first."""
     kind = docs.schema[id_col].dataType.simpleString()
+    pairs, runs = _partner(similarity, TINY), _partner(similarity)
 
     def rows(frames):
         seen: set[bytes] = set()
         memo = Memo()
         for f in frames:
-            digests, sizes, values, few = [], [], [], []
+            digests, sizes, values, few, threes = [], [], [], [], []
             for text in f["text"]:
                 words = _words(text)
                 digest = _node(words)
-                value = short = None
+                value = short = run = None
                 if digest not in seen:
                     seen.add(digest)
                     if len(memo) > 300_000:
                         memo.clear()
                     hashed = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
                     value = sketch(labelled(hashed, k), min(FEW, sketches) if len(words) <= SHORT else sketches, pick)
-                    if len(words) <= partner:
+                    if len(words) <= pairs:
                         short = labelled(hashed, 2).view(np.int64)
+                    if TINY < len(words) <= runs:
+                        run = labelled(hashed, 3).view(np.int64)
                 digests.append(digest)
                 sizes.append(len(words))
                 values.append(value)
                 few.append(short)
-            yield f[["row", "id", "raw_sha"]].assign(digest=digests, n=sizes, sketch=values, short=few)
+                threes.append(run)
+            yield f[["row", "id", "raw_sha"]].assign(digest=digests, n=sizes, sketch=values, short=few, run=threes)
 
     raw = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.sha2(raw, 256).alias("raw_sha"), raw.alias("text"))
-    return texts.mapInPandas(rows, f"row long, id {kind}, raw_sha string, digest binary, n int, sketch array<long>, short array<long>")
+    return texts.mapInPandas(rows, f"row long, id {kind}, raw_sha string, digest binary, n int, sketch array<long>, short array<long>, run array<long>")
 
 
 def word_hashes(docs: DataFrame, text_col: str) -> DataFrame:
@@ -268,12 +273,13 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.select("node", "leader", "wa", "wb").mapInPandas(rows, "node long, leader long")
 
 
-def by_rare_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(node, label, key): rows (node, label, n, tokens: labelled pairs of words) dealt by the first pairs, of
-    which texts that match share one, from the rarest. Any fixed order would do; this one is
-    by the counts of the pairs with a share of 1 / ``LISTED`` or more, then by hash. Of texts of
-    n and m >= n words that match, the pairs shared are m - 1 - 2 e or more (e: the edits that m
-    allows), so the first n - m + 2 e + 1 are enough; over all m that is 2 e(n) + 2 at most."""
+def by_rare_runs(tokens: DataFrame, similarity: float, width: int = 2) -> DataFrame:
+    """(node, label, key): rows (node, label, n, tokens: labelled runs of ``width`` words) dealt by
+    the first runs, of which texts that match share one, from the rarest. Any fixed order would
+    do; this one is by the counts of the runs with a share of 1 / ``LISTED`` or more, then by hash.
+    Of texts of n and m >= n words that match, m - width + 1 - width e runs or more are shared (e:
+    the edits that m allows), so the first n - m + width e + 1 are enough; over all m that is
+    width e(n) + width at most, if ``similarity`` is 0.8."""
 
     def count(frames):
         for f in frames:
@@ -293,7 +299,7 @@ def by_rare_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
             nodes, labels, keys = [], [], []
             for node, label, n, x in zip(f["node"], f["label"], f["n"], f["tokens"], strict=True):
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                order = np.lexsort((x, np.where(known[at] == x, counts[at], 0)))[: 2 * _allowed(n, similarity) + 2]
+                order = np.lexsort((x, np.where(known[at] == x, counts[at], 0)))[: width * (_allowed(n, similarity) + 1)]
                 nodes.append(np.full(len(order), node))
                 labels.append(np.full(len(order), label))
                 keys.append(x[order])
@@ -411,10 +417,13 @@ def relabelled(members: DataFrame, maps: list[DataFrame]) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float = SIMILARITY, small: int = SMALL) -> list[DataFrame]:
-    """The classes of the ``nodes`` (node, digest, n, sketch, short) by verified links, as tables
+    """The classes of the ``nodes`` (node, digest, n, sketch, short, run) by verified links, as tables
     (node, label) that lead on from label to label (see ``relabelled``)."""
     short = nodes.filter("short IS NOT NULL").select("node", "n", F.col("short").alias("tokens"))
-    members = nodes.select("node", F.explode("sketch").alias("key")).unionByName(by_rare_pairs(short.withColumn("label", F.col("node")), similarity).select("node", "key"))
+    run = nodes.filter("run IS NOT NULL").select("node", "n", F.col("run").alias("tokens"))
+    members = nodes.select("node", F.explode("sketch").alias("key"))
+    for tokens, width in ((short, 2), (run, 3)):
+        members = members.unionByName(by_rare_runs(tokens.withColumn("label", F.col("node")), similarity, width).select("node", "key"))
     lead = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
     lead = materialize(lead.select("key", "leader"), "leaders")  # written, so that Spark can split a hot bucket in the join
     asked = materialize(members.join(lead, "key").select("key", "node", "leader"), "asked")
@@ -442,8 +451,8 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
                 yield pd.DataFrame({"node": f["node"], "label": f["label"], "keys": [sketch(labelled(_mix(x), 2), AGAIN, 1) for x in seqs]})
 
     again = words.join(large, "node").select("node", "label", "words").mapInPandas(keys, "node long, label long, keys array<long>")
-    tiny = materialize(short.filter(F.col("n") <= _partner(similarity, TINY)).join(large, "node"), "crowded")
-    rare = by_rare_pairs(tiny, similarity)
+    tiny = materialize(short.join(large, "node"), "crowded")
+    rare = by_rare_runs(tiny, similarity)
     dealt = mixed(again.select("node", "label", F.explode("keys").alias("key")).unionByName(rare), "dealt")
     found = materialize(solve(few(dealt), words, similarity), "across")
     large = dealt.filter(F.col("size") > small)
@@ -481,7 +490,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the first row of each word sequence; xxhash64 maps different longs to different longs
     ids = materialize(rows.groupBy("digest").agg(F.min("row").alias("first")).withColumn("node", F.xxhash64("first")), "nodes")
     nodes = rows.filter("sketch IS NOT NULL").withColumn("node", F.xxhash64("row"))
-    nodes = nodes.join(ids.select("node"), "node", "left_semi").select("node", "digest", "n", "sketch", "short")
+    nodes = nodes.join(ids.select("node"), "node", "left_semi").select("node", "digest", "n", "sketch", "short", "run")
     labels = materialize(relabelled(ids.select("digest", "node"), links(docs, nodes, text_col, similarity)).select("digest", "label"), "labels")
     named = materialize(rows.select("row", "id", "raw_sha", "digest").join(labels, "digest").select("row", "id", "raw_sha", "label"), "named")
     best = F.struct(F.col("id").isNull().alias("u"), F.col("id").alias("i"), F.col("row").alias("r"))
