@@ -396,7 +396,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts", "i08_macd", "i09_supertrend", "i11_adx", "i15_parabolic_sar", "i23_kama", "i49_tema_zlema", "i54_force", "i56_volume_indices", "p08_readiness", "v19_market_features"])
+@pytest.mark.parametrize("name", ["a01_ohlc_60m", "i10_stochastic", "i07_rsi", "j05_barrier_labels", "a17_quantiles", "d16_title_key", "r01_stream_ohlc", "q11_history_merge", "r13_followed_signals", "a07_follow_status_counts", "i08_macd", "i09_supertrend", "i11_adx", "i15_parabolic_sar", "i23_kama", "i49_tema_zlema", "i54_force", "i56_volume_indices", "p08_readiness", "v19_market_features", "i36_patterns", "r03_forming_bars", "q01_non_overlapping", "q02_window_trades", "q05_selection_split", "q04_purged_split", "p14_forbidden_fields", "p15_journal_faults", "d20_number_lexemes"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
     import os
