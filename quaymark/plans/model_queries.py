@@ -45,14 +45,14 @@ picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e
 RECURSIVE = TRADES.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("q02_window_trades", RECURSIVE + ", " + DIRECTIONS + THIRDS.replace("SELECT a.*, w.", "SELECT a.*, concat_ws('|', a.instrument, rule, cost, w.\"window\") AS g, w.") + CHAIN + 'SELECT instrument, rule, cost, "window", entry_ns, label_end_ns FROM picked')
+@query("q02_window_trades", RECURSIVE + ", " + DIRECTIONS + THIRDS.replace("SELECT a.*, w.", "SELECT a.*, concat_ws('|', a.instrument, rule, cost, w.\"window\") AS g, w.") + CHAIN + 'SELECT instrument, rule, cost, "window" AS fold, entry_ns, label_end_ns FROM picked')
 def window_trades(spark, sf_dir):
     """Trades along the coarser direction, one at a time inside each third of the time."""
     t = written(settled(spark, sf_dir), "settled")
     low, high = t.agg(F.min("entry_ns"), F.max("entry_ns")).first()
     third = ((high or 0) - (low or 0)) // 3
     windows = spark.createDataFrame([(k, (low or 0) + k * third, (low or 0) + (k + 1) * third) for k in range(3)], "window int, start_ns long, end_ns long")
-    return Z.window_trades(t, windows, ["instrument", "rule", "cost"], "aligned").select("instrument", "rule", "cost", "window", "entry_ns", "label_end_ns")
+    return Z.window_trades(t, windows, ["instrument", "rule", "cost"], "aligned").select("instrument", "rule", "cost", F.col("window").alias("fold"), "entry_ns", "label_end_ns")
 
 
 @query("q05_selection_split", RECURSIVE + f""", o AS (SELECT list_sort(list(DISTINCT entry_ns)) AS l FROM trades WHERE label_end_ns IS NOT NULL), b AS (SELECT l[len(l) * 3 // 4 + 1] AS cut FROM o),
