@@ -589,6 +589,14 @@ def test_urls(spark):
     assert url_filter.filter_urls(rows.limit(0), url_filter.rule_table(spark, url_filter.RULES)).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert dict(url_filter.RULES) == contract
+    rows = spark.createDataFrame([(k, f"https://www.{rule}") for k, rule in enumerate(contract)], "page_id long, url string")
+    got = url_filter.filter_urls(rows, url_filter.rule_table(spark, url_filter.RULES)).collect()
+    assert {r["rule"]: r["verdict"] for r in got} == contract
+
+
 # -- conversations --------------------------------------------------------------------------------------
 
 
