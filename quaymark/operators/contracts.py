@@ -42,16 +42,17 @@ def differs(a: Column, b: Column) -> Column:
     return F.abs(a - b) > TOLERANCE * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
 
 
-def journal_faults(positions: DataFrame, capital: Column, most_risk: float = 0.01) -> DataFrame:
+def journal_faults(positions: DataFrame, capital: Column, most_risk: float = 0.01, tolerance: float = TOLERANCE) -> DataFrame:
     """``positions`` (id, side, status, entry, stop, target, quantity, net_risk, fee_bps,
     slippage_bps, opened_ns, closed_ns, exit, pnl) with the first ``fault`` of each, null for
     sound ones: amounts that are not positive, levels on the wrong side, a notional over the
     capital, an open risk over its share, a risk or a result that does not follow from the
-    prices and costs, a closing before the opening."""
+    prices and costs, a closing before the opening. The notional and the open risk may pass their
+    limits by ``tolerance`` of the capital."""
     way = F.when(F.col("side") == "BUY", 1).when(F.col("side") == "SELL", -1)
     fine = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
     positive = reduce(lambda a, b: a & b, [fine(c) for c in ("entry", "stop", "target", "quantity", "net_risk")])
-    slack = TOLERANCE * F.greatest(F.lit(1.0), capital)
+    slack = tolerance * F.greatest(F.lit(1.0), capital)
     exit_stop = F.col("stop") * (1 - way * F.col("slippage_bps") / 10000)
     risk = way * (F.col("entry") - exit_stop) + round_trip_fee(F.col("entry"), exit_stop, F.col("fee_bps"))
     result = (way * (F.col("exit") - F.col("entry")) - round_trip_fee(F.col("entry"), F.col("exit"), F.col("fee_bps"))) * F.col("quantity")

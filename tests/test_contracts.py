@@ -1,7 +1,10 @@
 """Forbidden fields by their paths, journals by their arithmetic, numbers by their characters."""
 
 import json
+from collections import Counter
 
+import __spark_entry__ as entry
+import duckdb
 from pyspark.sql import functions as F
 
 from quaymark.operators import contracts as C
@@ -44,3 +47,14 @@ def test_journal_faults_in_order(spark):
     t = spark.createDataFrame(rows, "id int, side string, status string, entry double, stop double, target double, quantity double, net_risk double, fee_bps double, slippage_bps double, opened_ns long, closed_ns long, exit double, pnl double")
     got = [r["fault"] for r in C.journal_faults(t, F.lit(1000.0)).orderBy("id").collect()]
     assert got == [fault for _, fault in cases]
+
+
+def test_journal_query_has_the_limits_of_its_sql(spark, tmp_path):
+    # 59523.81 x 42 is 250.000002 of the 250 allowed; sound, tampered and closed orders beside it
+    rows = [(k, 1, q, price, flag, status) for k in range(5) for q, price in ((42.0, 59523.81), (25.0, 100000.0), (3.0, 2000.0)) for flag in "NR" for status in "FO"]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = Counter(con.execute(entry.oracle_sql()["p15_journal_faults"]).fetchall())
+    assert Counter(map(tuple, entry.queries()["p15_journal_faults"](spark, str(tmp_path)).collect())) == want
+    assert sum(n for r, n in want.items() if r[2] == "notional") == 16
