@@ -77,7 +77,7 @@ def core_interval(rows: DataFrame, keys: list[str], value: str = "net_r", order:
     w = Window.partitionBy("k", "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.select("k", "rep", "i", "n", F.when(starts, F.struct("i", place.alias("place"))).alias("s")).withColumn("s", F.last("s", ignorenulls=True).over(w))
     at = drawn.select("k", "rep", ((F.col("s.place") + F.col("i") - F.col("s.i")) % F.col("n")).alias("i"))
-    means = at.join(sample.select("k", "i", "x"), ["k", "i"]).groupBy("k", "rep").agg(F.avg("x").alias("mean"))
+    means = at.join(sample.select("k", "i", "x").hint("merge"), ["k", "i"]).groupBy("k", "rep").agg(F.avg("x").alias("mean"))
     return _intervals(means, sample, *[F.floor(F.lit((reps - 1) * p)).cast("int") for p in (0.025, 0.975)])
 
 
@@ -86,9 +86,16 @@ def moving_blocks(rows: DataFrame, keys: list[str], value: str = "net_r", order:
     start a block. Ranks are floor(.025 reps) and ceil(.975 reps) - 1; fewer than ``least``
     values have no interval."""
     sample = _numbered(rows, keys, value, order)
-    drawn = sample.filter(F.col("n") >= least).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
     size = F.least(F.lit(block).cast("long"), F.col("n"))
-    number = F.col("rep") * F.ceil(F.col("n") / size) + F.floor(F.col("i") / size) + 1
-    at = ((F.floor(draw(seed, number) * F.col("n")) + F.col("i") % size) % F.col("n")).alias("i")
-    means = drawn.select("k", "rep", at).join(sample.select("k", "i", "x"), ["k", "i"]).groupBy("k", "rep").agg(F.avg("x").alias("mean"))
+    long = sample.filter(F.col("n") >= least)
+    # every place with the values of the block that starts there
+    starts = long.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), size - 1))).groupBy("k", F.pmod(F.col("i") - F.col("j"), F.col("n")).alias("i")).agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("values"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: the repetitions are few bytes, their draws are not
+    drawn = long.filter("i = 0").select("k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep")).repartition(tasks, "k", "rep")
+    drawn = drawn.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / size) - 1)))
+    at = (F.floor(draw(seed, F.col("rep") * F.ceil(F.col("n") / size) + F.col("b") + 1) * F.col("n")) % F.col("n")).alias("i")
+    taken = F.least(size, F.col("n") - F.col("b") * size).cast("int").alias("taken")
+    total = F.aggregate(F.slice("values", F.lit(1), F.col("taken")), F.lit(0.0), lambda a, v: a + v["x"])
+    # merged: the planner counts a repetition as one row, and would send all draws to the driver for a broadcast
+    means = drawn.select("k", "rep", "n", taken, at).join(starts.hint("merge"), ["k", "i"]).groupBy("k", "rep").agg((F.sum(total) / F.first("n")).alias("mean"))
     return _intervals(means, sample, F.lit(int(0.025 * reps)), F.lit(-(-reps * 975 // 1000) - 1)).drop("mean")

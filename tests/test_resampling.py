@@ -62,6 +62,14 @@ def test_core_interval_is_that_of_a_loop(spark):
     assert H.core_interval(t.limit(0), ["k"]).count() == 0
 
 
+def test_draws_are_never_broadcast(spark):
+    _, t = values(spark)
+    for way in (H.moving_blocks, H.core_interval):
+        plan = way(t, ["k"])._jdf.queryExecution()
+        draws = [line for line in plan.sparkPlan().toString().splitlines() if "Join" in line and "#" in line and " i#" in line.replace("[i#", " i#")]
+        assert draws and all("SortMergeJoin" in line for line in draws)
+
+
 def test_moving_blocks_are_those_of_a_loop(spark):
     rows, t = values(spark)
     got = {r["k"]: (r["n"], r["low"], r["high"]) for r in H.moving_blocks(t, ["k"], reps=100).collect()}
