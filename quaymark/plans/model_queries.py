@@ -113,7 +113,7 @@ def core_interval(spark, sf_dir):
 def class_samples(spark, sf_dir: str) -> DataFrame:
     """Each bar's 19 features and the class of the next four hours against the ATR and the cost."""
     b = written(hours(spark, sf_dir), "bars")
-    v = V.market_features(K.context(b, 60), b, directions(b), 60)
+    v = written(V.market_features(K.context(b, 60), b, directions(b), 60), "vectors")
     rows = D.numbered(b).join(v, ["instrument", "bucket"])
     rows = rows.withColumn("features", F.array(*[F.col(n) for n in V.MARKET])).select("instrument", "bucket", "bar", "bars", "features", F.col(V.MARKET[7]).alias("atr_share"))
     labelled = T.class_label(b.join(rows.select("instrument", "bucket", "atr_share"), ["instrument", "bucket"], "left"), 60, D.neutral_band(F.col("atr_share"), F.col("close")), D.HORIZON)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaymark.operators import decisions as D
 from quaymark.operators import resample as H
 from quaymark.operators import stats as S
+from quaymark.plans import model_queries
 
 
 def sequence(seed):
@@ -257,6 +258,11 @@ def test_the_earlier_of_equal_candidates_is_chosen(monkeypatch):
     assert D.choose("i", np.arange(100), np.arange(100) + 4, x[:100], y[:100], 100) == []
 
 
+def test_plans_of_class_samples_stay_small(spark):
+    plan = model_queries.class_samples(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "Join" in plan and "Union" not in plan  # the features are made once
+
+
 def test_class_models_keep_the_newest_history(spark):
     x, y = sample(700, 4, 9)
     rows = [("i", k, 700, list(map(float, x[k])), D.CLASSES[y[k]] if k % 50 else None) for k in range(700)] + [("few", k, 9, [0.0] * 4, "UP") for k in range(9)]
