@@ -371,7 +371,8 @@ def considered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     fired = V.with_direction(V.ready_signals(K.signals(ctx), b, 60).join(follow, ["instrument", "bucket"]), directions(b), 60)
     opposed = ((F.col("way") == 1) & (F.col("direction") == "DOWN")) | ((F.col("way") == -1) & (F.col("direction") == "UP"))
     rejected = F.when(F.col("not_ready").isNotNull(), "history").when(opposed, "higher")
-    return b, ctx, fired.withColumn("rejected", rejected).drop("not_ready", "direction")
+    # written: plans refer to their columns many times over, and the rules of all would be put in each
+    return b, ctx, written(fired.withColumn("rejected", rejected).drop("not_ready", "direction"), "fired")
 
 
 def rule_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +396,7 @@ def trade_vectors(spark, sf_dir):
     """The feature vector of each valid plan: 34 features, then the 82 of the second version."""
     b, ctx, fired = considered(spark, sf_dir)
     planned = T.plans(fired.filter("rejected IS NULL").drop("rejected"), quote="next_open").filter("valid")
-    v = V.trade_features(planned, V.market_features(ctx, b, directions(b), 60), 60)
+    v = V.trade_features(written(planned, "planned"), written(V.market_features(ctx, b, directions(b), 60), "vectors"), 60)
     return v.select("instrument", "bucket", "rule", "way", "cost", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
 
 

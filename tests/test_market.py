@@ -391,6 +391,12 @@ def test_classifier_race_uses_every_component(spark, tmp_path):
 # -- the entry -----------------------------------------------------------------------------------
 
 
+def test_plans_of_trade_features_stay_small(spark):
+    # the rules of all signals would be put into every use of a plan's columns, and fill the driver
+    plan = entry.queries()["v116_trade_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "Join" in plan and "Generate" not in plan and "Window" not in plan
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
