@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 Z95 = 1.96
 
 
@@ -87,6 +89,22 @@ def class_diagnostics(rows: DataFrame, probabilities: str = "p", actual: str = "
     return rows.agg(F.count("*").alias("n"), F.avg(squares).alias("brier"), F.avg(-F.log(mine)).alias("log_loss"), F.avg((first == k).cast("int")).alias("accuracy"))
 
 
+def _places(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value, c, end): each distinct value, how often it occurs and how many rows of its
+    key it ends, nulls first. Values are counted, cut into ranges and numbered range by range, so
+    that no task holds a key."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: a range stays a task
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("c")).repartitionByRange(tasks, *keys, value)
+    counted = written(counted.withColumn("__part", F.spark_partition_id()), "counted")
+    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = counted.groupBy(*keys, "__part").agg(F.sum("c").alias("s")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), F.coalesce(F.sum("s").over(by), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return counted.withColumn("end", F.sum("c").over(within)).join(F.broadcast(before), same).select(*keys, value, "c", (F.col("end") + F.col("__before")).alias("end"))
+
+
 def segments(rows: DataFrame, order: str, parts: int = 3, value: str = "probability", outcome: str = "y") -> DataFrame:
     """Chronological parts cut at floor(n * i / parts), not ntile; per part n, hits above
     0.6 and their rate."""
@@ -103,18 +121,24 @@ def segments(rows: DataFrame, order: str, parts: int = 3, value: str = "probabil
 
 
 def quantiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95), *keys: str) -> DataFrame:
-    """Linear, lower (floor((n-1)p)) and nearest-rank (ceil(pn)-1) quantiles. The two that
-    pick an element rank within the key; exact at any size."""
-    linear = rows.groupBy(*keys).agg(F.count(value).alias("n"), *[F.percentile(value, p).alias(f"linear_{int(p * 100)}") for p in shares])
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)) - 1)
-    counts = linear.select(*keys, "n")
-    joined = ranked.join(F.broadcast(counts), list(keys)) if keys else ranked.crossJoin(F.broadcast(counts))  # one row, or one a key
+    """Linear, lower (floor((n-1)p)) and nearest-rank (ceil(pn)-1) quantiles, exact at any
+    size: values are taken from the places of the distinct ones."""
+    counts = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    places = _places(rows.filter(F.col(value).isNotNull()), value, list(keys))
+    joined = places.join(F.broadcast(counts), list(keys)) if keys else places.crossJoin(F.broadcast(counts))  # one row, or one a key
+    at = lambda place: F.max(F.when((F.col("end") - F.col("c") <= place) & (place < F.col("end")), F.col(value)))
     pick = []
     for p in shares:
-        pick.append(F.max(F.when(F.col("__r") == F.floor((F.col("n") - 1) * p), F.col(value))).alias(f"lower_{int(p * 100)}"))
-        pick.append(F.max(F.when(F.col("__r") == F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0)), F.col(value))).alias(f"nearest_{int(p * 100)}"))
+        k, place = int(p * 100), (F.col("n") - 1) * p
+        pick += [at(F.floor(place)).alias(f"lower_{k}"), at(F.ceil(place)).alias(f"__upper_{k}"), at(F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))).alias(f"nearest_{k}")]
     picked = joined.groupBy(*keys).agg(*pick)
-    return linear.join(picked, list(keys)) if keys else linear.crossJoin(F.broadcast(picked))
+    out = counts.join(picked, list(keys)) if keys else counts.crossJoin(F.broadcast(picked))
+    linear = []
+    for p in shares:
+        k, place = int(p * 100), (F.col("n") - 1) * p
+        low, high = F.col(f"lower_{k}"), F.col(f"__upper_{k}")
+        linear.append(F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(f"linear_{k}"))
+    return out.select(*keys, "n", *linear, *[F.col(f"{kind}_{int(p * 100)}") for p in shares for kind in ("lower", "nearest")])
 
 
 def holm(rows: DataFrame, p: str = "p", *keys: str) -> DataFrame:

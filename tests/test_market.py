@@ -5,6 +5,7 @@ import math
 import random
 import shutil
 import zipfile
+from collections import Counter
 from decimal import Decimal
 
 import numpy as np
@@ -388,6 +389,24 @@ def test_classifier_race_uses_every_component(spark, tmp_path):
     assert len(got) == 5 and min(got.values()) > 0.9
 
 
+def test_quantiles_of_ranges_are_those_of_sorted_values(spark):
+    rng = random.Random(8)
+    rows = [("a", rng.randrange(40) / 4) for _ in range(501)] + [("b", rng.random()) for _ in range(20)] + [("c", 5.0), ("d", None), ("a", None)]
+    out = M.quantiles(spark.createDataFrame(rows, "k string, v double"), "v", (0.05, 0.5, 0.95), "k")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "percentile" not in plan and "__part" in plan  # no task holds a key
+    got = {r["k"]: r for r in out.collect()}
+    for k in "abc":
+        x = sorted(v for key, v in rows if key == k and v is not None)
+        assert got[k]["n"] == len(x)
+        for p in (5, 50, 95):
+            at = (len(x) - 1) * p / 100
+            low, high = x[math.floor(at)], x[math.ceil(at)]
+            assert got[k][f"lower_{p}"] == low and got[k][f"nearest_{p}"] == x[max(math.ceil(len(x) * (p / 100)) - 1, 0)] and got[k][f"linear_{p}"] == pytest.approx(low + (high - low) * (at % 1), abs=1e-12)
+    none = M.quantiles(spark.createDataFrame([(1.0,), (2.0,)], "v double").limit(0), "v").collect()
+    assert len(none) == 1 and none[0]["n"] == 0 and none[0]["linear_50"] is None
+
+
 # -- the entry -----------------------------------------------------------------------------------
 
 
