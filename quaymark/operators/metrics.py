@@ -107,17 +107,27 @@ def _places(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def segments(rows: DataFrame, order: str, parts: int = 3, value: str = "probability", outcome: str = "y") -> DataFrame:
     """Chronological parts cut at floor(n * i / parts), not ntile; per part n, hits above
-    0.6 and their rate."""
+    0.6 and their rate. Only rows that share the value at a cut are numbered."""
     n = rows.count()
-    numbered = rows.withColumn("__r", F.row_number().over(Window.orderBy(order)) - 1) if n else rows.withColumn("__r", F.lit(0))
-    cuts = [n * i // parts for i in range(1, parts)]
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("__r") >= c).cast("int")
-    out = numbered.groupBy(part.alias("segment")).agg(
+    wanted = [n * i // parts for i in range(1, parts)] if n else []
+    holds = F.lit(False)
+    for c in wanted:
+        holds = holds | ((F.col("end") > c) & (F.col("end") - F.col("c") <= c))
+    found = _places(rows, order, []).filter(holds).collect() if wanted else []  # a row a cut at most
+    o, part, cuts = F.col(order), F.lit(0), [next(r for r in found if r["end"] - r["c"] <= c < r["end"]) for c in wanted]
+    tied = F.lit(False)
+    for r in {(r[order], r["c"]): r for r in cuts if r["c"] > 1}.values():
+        tied = tied | o.eqNullSafe(F.lit(r[order]))
+    if any(r["c"] > 1 for r in cuts):
+        numbered = rows.filter(tied).withColumn("__r", F.row_number().over(Window.partitionBy(order).orderBy(order)) - 1)
+        rows = rows.filter(~tied).withColumn("__r", F.lit(0)).unionByName(numbered)
+    for c, r in zip(wanted, cuts, strict=True):
+        after = o.isNotNull() if r[order] is None else F.coalesce(o > F.lit(r[order]), F.lit(False))
+        at = o.eqNullSafe(F.lit(r[order])) & (F.col("__r") >= c - (r["end"] - r["c"]) if r["c"] > 1 else F.lit(c <= r["end"] - r["c"]))
+        part = part + (after | at).cast("int")
+    return rows.groupBy(part.alias("segment")).agg(
         F.count("*").alias("n"), F.count_if(F.col(value) > 0.6).alias("selected"), F.avg(F.when(F.col(value) > 0.6, F.col(outcome))).alias("hit_rate"), F.avg(outcome).alias("rate")
     )
-    return out
 
 
 def quantiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95), *keys: str) -> DataFrame:

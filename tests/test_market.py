@@ -407,6 +407,16 @@ def test_quantiles_of_ranges_are_those_of_sorted_values(spark):
     assert len(none) == 1 and none[0]["n"] == 0 and none[0]["linear_50"] is None
 
 
+@pytest.mark.parametrize("ids", [list(range(100)), [5] * 50 + [None] * 7 + list(range(40)), [None] * 9 + [1], [3], [1, 2]])
+def test_segments_are_cut_by_place(spark, ids):
+    rows = [(v, k % 10 / 10, k % 2) for k, v in enumerate(ids)]
+    out = M.segments(spark.createDataFrame(rows, "id long, probability double, y int"), "id")
+    assert len(set(ids)) < len(ids) or "Window" not in out._jdf.queryExecution().analyzed().toString()  # no task holds all rows
+    n = len(ids)
+    want = Counter(sum(r >= n * i // 3 for i in (1, 2)) for r in range(n))
+    assert {r["segment"]: r["n"] for r in out.collect()} == want
+
+
 # -- the entry -----------------------------------------------------------------------------------
 
 
