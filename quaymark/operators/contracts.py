@@ -21,21 +21,25 @@ def forbidden_fields(reports: DataFrame, key: str, column: str = "json", names:
     schema, so they are walked as variants, all reports one level a round; text that is no JSON
     has the path ``null``."""
     names = FORBIDDEN if names is None else names
-    level = reports.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(column).alias("v"))
-    found = [level.filter("v IS NULL").select("k", F.lit(None).cast("string").alias("path"), F.lit(True).alias("hit"))]
-    level = level.filter("v IS NOT NULL")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """Written once a level: the fields found and what has fields of its own."""
+        more = F.coalesce(F.substring(F.schema_of_variant("v"), 1, 5).isin("OBJEC", "ARRAY"), F.lit(False))
+        return written(rows.withColumn("more", more).filter("hit OR more").withColumn("v", F.expr("CASE WHEN more THEN v END")), "fields")
+
+    read = reports.select(F.col(key).alias("k"), F.try_parse_json(column).alias("v"))
+    level = kept(read.select("k", F.when(F.col("v").isNotNull(), F.lit("$")).alias("path"), "v", F.col("v").isNull().alias("hit")))
+    found = []
     while True:
-        kind = F.substring(F.schema_of_variant("v"), 1, 5)
-        inner = written(level.filter(kind.isin("OBJEC", "ARRAY")), "variants")
+        found.append(level.filter("hit").select("k", "path"))
+        inner = level.filter("more")
         if inner.isEmpty():
             break
         inner.createOrReplaceTempView("__variants")
         each = reports.sparkSession.sql("SELECT k, path, e.pos, e.key AS name, e.value AS v FROM __variants, LATERAL variant_explode(v) e")
         place = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "name"))
-        level = written(each.select("k", place.alias("path"), "v", F.coalesce(F.col("name").isin(*names), F.lit(False)).alias("hit")), "fields")
-        found.append(level.select("k", "path", "hit"))
-        level = level.select("k", "path", "v").filter("v IS NOT NULL")
-    return reduce(DataFrame.unionByName, found).filter("hit").select(F.col("k").alias(key), "path")
+        level = kept(each.select("k", place.alias("path"), "v", F.coalesce(F.col("name").isin(*names), F.lit(False)).alias("hit")))
+    return reduce(DataFrame.unionByName, found).select(F.col("k").alias(key), "path")
 
 
 def differs(a: Column, b: Column) -> Column:

@@ -58,3 +58,10 @@ def test_journal_query_has_the_limits_of_its_sql(spark, tmp_path):
     want = Counter(con.execute(entry.oracle_sql()["p15_journal_faults"]).fetchall())
     assert Counter(map(tuple, entry.queries()["p15_journal_faults"](spark, str(tmp_path)).collect())) == want
     assert sum(n for r, n in want.items() if r[2] == "notional") == 16
+
+
+def test_reports_are_read_once(spark):
+    t = spark.createDataFrame([(1, '{"a": {"token": 1}}'), (2, "no json"), (3, "null"), (4, '[[{"b": [1, {"entry": 2}]}], {"b": {"c": "x"}}, 5]'), (5, '{"a": [{"b": {"bars": 1}}, {"b": 2}]}')], "id int, json string")
+    found = C.forbidden_fields(t, "id")
+    assert "parse_json" not in found._jdf.queryExecution().analyzed().toString()
+    assert {(r["id"], r["path"]) for r in found.collect()} == {(1, "$.a.token"), (2, None), (4, "$[0][0].b[1].entry"), (5, "$.a[0].b.bars")}
