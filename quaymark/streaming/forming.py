@@ -28,6 +28,8 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -38,6 +40,10 @@ from ..operators.bars import MINUTE, bucket
 MESSAGE = "instrument string, at_ns long, sequence long, bucket long, open double, high double, low double, close double, volume double, trades long"
 OUT = "instrument string, at_ns long, sequence long, kind string, bucket long, open double, high double, low double, close double, volume double, trades long"
 STATE = "closed long, last long, bucket long, open double, high double, low double, close double, volume double, trades long, interrupted boolean"
+#: Waiting messages, a batch an entry: a row an entry costs a round trip each.
+WAITING = "first long, last long, rows binary"
+ROWS = pa.schema([(c.split()[0], pa.float64() if c.endswith("double") else pa.int64()) for c in MESSAGE.split(", ")[1:]])
+CHUNK = 50_000
 STALE, AHEAD = 15_000_000_000, MINUTE
 _names = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
 FIELDS, OUT_FIELDS = _names(MESSAGE), _names(OUT)
@@ -106,6 +112,22 @@ def _bars_of(frame: pd.DataFrame) -> Iterator[tuple]:
         yield int(at), int(sequence), (None if start is None else int(start), *prices, volume, None if trades is None else int(trades))
 
 
+def _packed(rows: pa.Table) -> list[tuple]:
+    """Entries of ``WAITING``."""
+    out = []
+    for k in range(0, len(rows), CHUNK):
+        part, sink = rows.slice(k, CHUNK), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+            file.write_table(part)
+        at = pa.compute.min_max(part["at_ns"])
+        out.append((at["min"].as_py(), at["max"].as_py(), sink.getvalue().to_pybytes()))
+    return out
+
+
+def _unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(rows)).read_all()
+
+
 def _frame(name: str, rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame([(name, *r) for r in rows], columns=OUT_FIELDS)
     return out.astype({"sequence": "Int64", "bucket": "Int64", "trades": "Int64"})
@@ -156,7 +178,7 @@ class FormingProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("bar", STATE)
-        self.waiting = handle.getListState("waiting", MESSAGE)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def _load(self) -> Forming:
         return Forming(self.minutes, self.stale_ns, tuple(self.value.get()) if self.value.exists() else None)
@@ -167,29 +189,35 @@ class FormingProcessor(StatefulProcessor):
         self.value.update(bar.state())
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        none = lambda v: None if v is None or v != v else v
         for frame in rows:
-            kept = [(key[0], at, sequence, *bar) for at, sequence, bar in _bars_of(frame)]
-            if kept:
-                self.waiting.appendList([tuple(map(none, r)) for r in kept])
-                self.handle.registerTimer(min(r[1] for r in kept) // 1_000_000)  # it sets the next
+            if len(frame):
+                kept = _packed(pa.Table.from_pandas(frame[FIELDS[1:]], ROWS, preserve_index=False))
+                self.waiting.appendList(kept)
+                self.handle.registerTimer(min(r[0] for r in kept) // 1_000_000)  # it sets the next
         yield pd.DataFrame(columns=OUT_FIELDS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, bar, out = timerValues.getCurrentWatermarkInMs(), self._load(), []
-        rows = [tuple(r) for r in self.waiting.get()]
-        due = sorted((r for r in rows if r[1] // 1_000_000 <= now), key=lambda r: r[1:3])
-        if due:
-            later = [r for r in rows if r[1] // 1_000_000 > now]
+        now, bar = timerValues.getCurrentWatermarkInMs(), self._load()
+        entries = [tuple(r) for r in self.waiting.get()]
+        after = (now + 1) * 1_000_000  # the first that is not due
+        if any(r[0] < after for r in entries):
+            later = [r for r in entries if r[0] >= after]
+            rows = pa.concat_tables([_unpacked(r[2]) for r in entries if r[0] < after])
+            early = pa.compute.less(rows["at_ns"], after)
+            later += _packed(rows.filter(pa.compute.invert(early)))
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
-                self.handle.registerTimer(min(r[1] for r in later) // 1_000_000)
-            for _, at, sequence, *values in due:
-                out += bar.step(at, sequence, tuple(values))
-        end = bar.deadline()
+                self.handle.registerTimer(min(r[0] for r in later) // 1_000_000)
+            due = rows.filter(early).sort_by([("at_ns", "ascending"), ("sequence", "ascending")])
+            for k in range(0, len(due), CHUNK):
+                out = []
+                for at, sequence, values in _bars_of(due.slice(k, CHUNK).to_pandas(integer_object_nulls=True)):
+                    out += bar.step(at, sequence, values)
+                yield _frame(key[0], out)
+        out, end = [], bar.deadline()
         if end is not None and end // 1_000_000 < now:
-            out += bar.silence(now * 1_000_000)
+            out = bar.silence(now * 1_000_000)
         elif end is not None:
             self.handle.registerTimer(end // 1_000_000 + 1)
         self.value.update(bar.state())

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,48 @@ def test_state_store_setting_comes_back(spark):
     with W.keyed_state(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name, None) == before
+
+
+class Kept:
+    """A value and a list of the state store, counting the entries that pass."""
+
+    def __init__(self):
+        self.rows, self.moved, self.timers = [], 0, []
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.moved += len(rows)
+
+    def put(self, rows):
+        self.rows, self.moved = list(rows), self.moved + len(rows)
+
+    def get(self):
+        self.moved += len(self.rows)
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def exists(self):
+        return False
+
+    def update(self, row):
+        self.row = row
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_messages_wait_in_batches(spark):
+    rows = [message(START + k * 1_000_000_000, volume=1.0 + k, trades=1 + k) for k in range(700)] + [message(START + 5, bucket=None)]
+    processor, store = W.FormingProcessor(15, 100 * WIDTH), Kept()
+    processor.handle = processor.value = processor.waiting = store
+    frame = pd.DataFrame(rows[::-1], columns=W.FIELDS)
+    assert sum(len(f) for f in processor.handleInputRows(("x",), iter([frame[:300], frame[300:]]), None)) == 0
+    store.now = (START + 400 * 1_000_000_000) // 1_000_000
+    first = pd.concat(list(processor.handleExpiredTimer(("x",), store, None)))
+    assert list(first["trades"]) == list(range(1, 402)) and len(store.rows) == 1
+    assert store.moved < 10 and max(store.timers) >= (START + 401 * 1_000_000_000) // 1_000_000
