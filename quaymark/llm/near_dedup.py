@@ -26,6 +26,11 @@ together. What is still large is compared in blocks of
 twice ``SMALL`` nodes, without those of one class. So nothing is capped, no unbounded group has
 to fit into one task, and members of one class are not compared with each other.
 
+Most texts of a bucket only share a passage. Each node has a ``sign``: for each of ``BITS`` classes of
+words, whether it has an odd number of them. An edit turns at most two bits, one that changes the
+length one, so signs and lengths tell most pairs apart, and never two that match. Only texts with
+a likely partner left are fetched and aligned.
+
 A pair matches when the edit distance of the word sequences is at most ``1 - SIMILARITY`` of
 the longer one: a bit-parallel alignment in a diagonal band of that width, on 32-bit hashes
 of the words (two unequal words pass as equal once in 4 billion). Matches are linked into
@@ -40,6 +45,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import count as numbers
 
 import numpy as np
 import pandas as pd
@@ -59,6 +65,8 @@ FEW = 24  # sketches of texts up to that
 TINY = 64  # words; up to that pairs of words tell, beyond it runs of three
 AGAIN = 16  # values by which longer texts of large buckets are dealt anew
 ALONE = 10_000  # links
+BITS = 256  # of a sign
+FILTER = 1 << 24  # bits of the filter by which texts that nobody asks for are left out
 LISTED = 65536  # pairs of words more frequent than one in so many are known by their counts, so there are at most so many
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,9 +212,15 @@ def _node(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def sign_of(hashed: np.ndarray) -> np.ndarray:
+    """For each class of words, as their hashes deal them, whether there is an odd number: bits of longs."""
+    odd = np.bincount((hashed & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, pick: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (row, id, raw_sha, digest, n, sketch, short, run). The sketch, and the labelled pairs
-    (``short``) and runs of three words (``run``) of texts that the filter is for, stand only where
+    """Rows (row, id, raw_sha, digest, n, sketch, short, run, sign). The sketch, the sign, and the labelled
+    pairs (``short``) and runs of three words (``run``) of texts that the filter is for, stand only where
     a task meets a word sequence first."""
     kind = docs.schema[id_col].dataType.simpleString()
     pairs, runs = _partner(similarity, TINY), _partner(similarity)
@@ -215,17 +229,18 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int,
         seen: set[bytes] = set()
         memo = Memo()
         for f in frames:
-            digests, sizes, values, few, threes = [], [], [], [], []
+            digests, sizes, values, few, threes, signs = [], [], [], [], [], []
             for text in f["text"]:
                 words = _words(text)
                 digest = _node(words)
-                value = short = run = None
+                value = short = run = sign = None
                 if digest not in seen:
                     seen.add(digest)
                     if len(memo) > 300_000:
                         memo.clear()
                     hashed = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
                     value = sketch(labelled(hashed, k), min(FEW, sketches) if len(words) <= SHORT else sketches, pick)
+                    sign = sign_of(hashed)
                     if len(words) <= pairs:
                         short = labelled(hashed, 2).view(np.int64)
                     if TINY < len(words) <= runs:
@@ -235,30 +250,50 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int,
                 values.append(value)
                 few.append(short)
                 threes.append(run)
-            yield f[["row", "id", "raw_sha"]].assign(digest=digests, n=sizes, sketch=values, short=few, run=threes)
+                signs.append(sign)
+            yield f[["row", "id", "raw_sha"]].assign(digest=digests, n=sizes, sketch=values, short=few, run=threes, sign=signs)
 
     raw = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.sha2(raw, 256).alias("raw_sha"), raw.alias("text"))
-    return texts.mapInPandas(rows, f"row long, id {kind}, raw_sha string, digest binary, n int, sketch array<long>, short array<long>, run array<long>")
+    return texts.mapInPandas(rows, f"row long, id {kind}, raw_sha string, digest binary, n int, sketch array<long>, short array<long>, run array<long>, sign array<long>")
 
 
-def word_hashes(docs: DataFrame, text_col: str) -> DataFrame:
-    """(digest, words): a word sequence as 32-bit hashes, once in each task."""
+def word_hashes(docs: DataFrame, text_col: str, asked: DataFrame) -> DataFrame:
+    """(node, words): the word sequences of the nodes ``asked`` for (node, digest) as 32-bit hashes. A
+    filter of their digests, of one size for any input, leaves out most others before the join."""
+    spot = asked.select((F.crc32("digest") % FILTER).alias("spot"))
+    marks = spot.groupBy(F.expr("spot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits")).toArrow()
+    held = np.zeros(FILTER // 64, np.int64)  # the driver gets no more than this
+    held[marks["at"].to_numpy()] = marks["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(held.astype("<i8").tobytes())
 
     def rows(frames):
-        seen: set[bytes] = set()
+        marked, seen = sent.value, set()
         for f in frames:
             digests, hashes = [], []
             for text in f["text"]:
                 words = _words(text)
                 digest = _node(words)
-                if digest not in seen:
+                at = zlib.crc32(digest) % FILTER
+                if marked[at >> 3] >> (at & 7) & 1 and digest not in seen:
                     seen.add(digest)
                     digests.append(digest)
                     hashes.append(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).tobytes())
             yield pd.DataFrame({"digest": digests, "words": hashes})
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(rows, "digest binary, words binary")
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(rows, "digest binary, words binary")
+    return found.join(asked, "digest").dropDuplicates(["node"]).select("node", "words")
+
+
+def likely_pairs(pairs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (node, leader) that lengths and signs (node, n, sign) do not tell apart. Of the
+    edits allowed, as many as the lengths differ by turn one bit, the others at most two."""
+    for side in ("node", "leader"):
+        pairs = pairs.join(signs.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sign").alias(f"sign_{side}")), side)
+    apart = F.abs(F.col("n_node") - F.col("n_leader"))
+    most = F.floor((1 - similarity) * F.greatest("n_node", "n_leader") + 1e-9)
+    turned = sum((F.bit_count(F.col("sign_node")[k].bitwiseXOR(F.col("sign_leader")[k])) for k in range(BITS // 64)), F.lit(0))
+    return pairs.filter((apart <= most) & (turned <= 2 * most - apart)).select("node", "leader")
 
 
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -375,6 +410,42 @@ def linked(labels: list, own: list, seqs: list[bytes], similarity: float) -> lis
     return out
 
 
+def partnered(labels: np.ndarray, own: np.ndarray, size: np.ndarray, signs: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each member of a bucket has one of another label and, where two blocks (``own``) meet, of
+    the other block, that lengths and signs do not tell apart from it."""
+    name = np.unique(labels, return_inverse=True)[1]
+    some = np.flatnonzero(name != np.bincount(name).argmax())  # each pair has one that is not in the largest class
+    if not len(some):
+        return np.zeros(len(name), bool)
+    turned = np.zeros((len(some), len(name)), np.int64)
+    for k in range(signs.shape[1]):
+        turned += np.bitwise_count(signs[some, k][:, None] ^ signs[None, :, k])
+    apart = np.abs(size[some][:, None] - size[None, :])
+    most = np.floor((1 - similarity) * np.maximum(size[some][:, None], size[None, :]) + 1e-9)
+    near = (name[some][:, None] != name[None, :]) & (apart <= most) & (turned <= 2 * most - apart)
+    if (own != own[0]).any():
+        near &= own[some][:, None] != own[None, :]
+    out = near.any(axis=0)
+    out[some] |= near.any(axis=1)
+    return out
+
+
+def likely(buckets: DataFrame, signs: DataFrame, similarity: float, batch: int = 16384) -> DataFrame:
+    """The members (key, own, node, label) of small buckets that have a likely partner there."""
+    groups = max(1, buckets.count() // batch)
+
+    def keep(f: pd.DataFrame) -> pd.DataFrame:
+        label, own, size = (f[c].to_numpy(np.int64) for c in ("label", "own", "n"))
+        signs, kept = np.stack(f["sign"].to_list()).view(np.uint64), np.zeros(len(f), bool)
+        for at in f.groupby("key", sort=False).indices.values():
+            kept[at] = partnered(label[at], own[at], size[at], signs[at], similarity)
+        return f.loc[kept, ["key", "own", "node", "label"]]
+
+    dealt = buckets.join(signs.select("node", "n", "sign"), "node").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    dealt = dealt.select("group", "key", "own", "node", "label", "n", "sign")
+    return dealt.groupBy("group").applyInPandas(keep, "key long, own long, node long, label long")
+
+
 def solve(buckets: DataFrame, words: DataFrame, similarity: float, batch: int = 4096) -> DataFrame:
     """(node, leader) links between the classes of the members (key, own, node, label) of small
     buckets; buckets with about ``batch`` members together are one task's group."""
@@ -417,8 +488,8 @@ def relabelled(members: DataFrame, maps: list[DataFrame]) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float = SIMILARITY, small: int = SMALL) -> list[DataFrame]:
-    """The classes of the ``nodes`` (node, digest, n, sketch, short, run) by verified links, as tables
-    (node, label) that lead on from label to label (see ``relabelled``)."""
+    """The classes of the ``nodes`` (node, digest, n, sketch, short, run, sign; equal rows may repeat) by
+    verified links, as tables (node, label) that lead on from label to label (see ``relabelled``)."""
     short = nodes.filter("short IS NOT NULL").select("node", "n", F.col("short").alias("tokens"))
     run = nodes.filter("run IS NOT NULL").select("node", "n", F.col("run").alias("tokens"))
     members = nodes.select("node", F.explode("sketch").alias("key"))
@@ -426,20 +497,29 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
         members = members.unionByName(by_rare_runs(tokens.withColumn("label", F.col("node")), similarity, width).select("node", "key"))
     lead = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
     lead = materialize(lead.select("key", "leader"), "leaders")  # written, so that Spark can split a hot bucket in the join
-    asked = materialize(members.join(lead, "key").select("key", "node", "leader"), "asked")
+    asked = materialize(members.join(lead, "key").filter("node <> leader").select("key", "node", "leader"), "asked")
     if asked.isEmpty():
         return []
-    involved = nodes.select("node", "digest").join(asked.select("node").distinct(), "node", "left_semi")
-    words = materialize(word_hashes(docs, text_col).join(materialize(involved, "involved"), "digest").dropDuplicates(["node"]).select("node", "words"), "words")
-    rest = asked.filter("node <> leader")
-    maps = classes(materialize(verify(rest.select("node", "leader").distinct(), words, similarity), "found"))
-    rest = mixed(relabelled(rest.select("key", "node"), maps), "rest")
+    signs = materialize(nodes.filter("sign IS NOT NULL").select("node", "digest", "n", "sign").dropDuplicates(["node"]), "signs")
+    texts = lambda wanted, label: materialize(word_hashes(docs, text_col, materialize(signs.select("node", "digest").join(wanted.distinct(), "node", "left_semi"), label)), "words")
+    pairs = materialize(likely_pairs(asked.select("node", "leader").distinct(), signs, similarity), "pairs")
+    maps: list[DataFrame] = []
+    if not pairs.isEmpty():
+        words = texts(pairs.select("node").union(pairs.select("leader")), "involved")
+        maps = classes(materialize(verify(pairs, words, similarity), "found"))
+    rest = mixed(relabelled(asked.select("key", "node").distinct(), maps), "rest")
     if rest.isEmpty():
         return maps
     few = lambda x: x.filter(F.col("size") <= small).withColumn("own", F.lit(0).cast("long"))
-    maps += classes(materialize(solve(few(rest), words, similarity), "solved"))
+    close = materialize(likely(few(rest), signs, similarity), "close")
+    crowd = materialize(rest.filter(F.col("size") > small).select("node").distinct(), "crowd")
+    wanted = close.select("node").union(crowd)
+    if wanted.isEmpty():
+        return maps
+    words = texts(wanted, "involved")
+    maps += classes(materialize(solve(close, words, similarity), "solved"))
     # labels are told once a node and go with its keys
-    large = materialize(relabelled(rest.filter(F.col("size") > small).select("node").distinct(), maps), "large")
+    large = materialize(relabelled(crowd, maps), "large")
     if large.isEmpty():
         return maps
 
@@ -451,13 +531,14 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
                 yield pd.DataFrame({"node": f["node"], "label": f["label"], "keys": [sketch(labelled(_mix(x), 2), AGAIN, 1) for x in seqs]})
 
     again = words.join(large, "node").select("node", "label", "words").mapInPandas(keys, "node long, label long, keys array<long>")
-    tiny = materialize(short.join(large, "node"), "crowded")
+    tiny = materialize(short.join(large, "node").dropDuplicates(["node"]), "crowded")
     rare = by_rare_runs(tiny, similarity)
     dealt = mixed(again.select("node", "label", F.explode("keys").alias("key")).unionByName(rare), "dealt")
-    found = materialize(solve(few(dealt), words, similarity), "across")
+    found = materialize(solve(materialize(likely(few(dealt), signs, similarity), "close"), words, similarity), "across")
     large = dealt.filter(F.col("size") > small)
     if not large.isEmpty():
-        found = found.unionByName(materialize(solve(materialize(blocks(large, 2 * small), "met"), words, similarity), "across"))
+        met = materialize(likely(blocks(large, 2 * small), signs, similarity, 4096), "met")
+        found = found.unionByName(materialize(solve(met, words, similarity), "across"))
     return maps + classes(found)
 
 
@@ -483,16 +564,24 @@ def classes(edges: DataFrame) -> list[DataFrame]:
     return maps
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a ``node``, the number of their word sequence, and all nodes. It is a hash of the
+    digest, by the first seed that gives different digests different numbers, so that sketches of
+    one sequence by several tasks are one node without a join."""
+    for seed in numbers():
+        out = rows.withColumn("node", F.xxhash64("digest", F.lit(seed)))
+        ids = materialize(out.select("node", "digest").distinct(), "nodes")
+        if ids.groupBy("node").count().filter("count > 1").isEmpty():
+            return out, ids.select("node")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, pick: int = PICK, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, ``group_id`` (smallest id of its class), ``group_size``,
     ``kept`` (one row of each class) and ``raw_sha``."""
-    rows = materialize(sketched(docs, id_col, text_col, k, sketches, pick, similarity), "sketches")
-    # the first row of each word sequence; xxhash64 maps different longs to different longs
-    ids = materialize(rows.groupBy("digest").agg(F.min("row").alias("first")).withColumn("node", F.xxhash64("first")), "nodes")
-    nodes = rows.filter("sketch IS NOT NULL").withColumn("node", F.xxhash64("row"))
-    nodes = nodes.join(ids.select("node"), "node", "left_semi").select("node", "digest", "n", "sketch", "short", "run")
-    labels = materialize(relabelled(ids.select("digest", "node"), links(docs, nodes, text_col, similarity)).select("digest", "label"), "labels")
-    named = materialize(rows.select("row", "id", "raw_sha", "digest").join(labels, "digest").select("row", "id", "raw_sha", "label"), "named")
+    rows, ids = numbered(materialize(sketched(docs, id_col, text_col, k, sketches, pick, similarity), "sketches"))
+    nodes = rows.filter("sketch IS NOT NULL").select("node", "digest", "n", "sketch", "short", "run", "sign")
+    labels = materialize(relabelled(ids, links(docs, nodes, text_col, similarity)).select("node", "label"), "labels")
+    named = materialize(rows.select("row", "id", "raw_sha", "node").join(labels, "node").select("row", "id", "raw_sha", "label"), "named")
     best = F.struct(F.col("id").isNull().alias("u"), F.col("id").alias("i"), F.col("row").alias("r"))
     groups = materialize(named.groupBy("label").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")  # apart, so that Spark splits a hot group in the join
     return named.join(groups, "label").select(

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -261,6 +262,44 @@ def test_near_dedup_classes_of_many_short_copies_are_those_of_all_pairs(spark):
     assert partition(labels) == classes_of_pairs(rows, sketched, every=True)
 
 
+def test_near_dedup_fetches_no_texts_that_only_share_a_passage(spark, monkeypatch):
+    rng = random.Random(17)
+    passage = " ".join(f"shared{k}" for k in range(30))
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + passage, "") for k in range(200)]
+    rows.append((200, rows[7][1].replace(passage, passage + " more"), ""))
+    written = defaultdict(int)
+
+    def counted(df, label):
+        out = common.materialize(df, label)
+        written[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    out = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(texts(spark, rows)).collect()}
+    assert out == {k: 7 if k == 200 else k for k in range(201)}
+    assert written["asked"] > 100 and written["words"] <= 10
+
+
+def test_near_dedup_signs_rule_out_no_match():
+    rng = random.Random(18)
+    ruled_out = 0
+    for n in [1, 5, 10, 40, 150, 400]:
+        for _ in range(60):
+            a = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            b, most = list(a), int(0.2 * n + 1e-9)
+            for _ in range(most):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randrange(2)] = [f"x{rng.randrange(3000)}"] * rng.randrange(2)
+            c = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            hashed = [np.array([xxhash.xxh3_64_intdigest(w) for w in x], np.uint64) for x in (a, b, c)]
+            signs = np.stack([near_dedup.sign_of(h) for h in hashed]).view(np.uint64)
+            size, own = np.array([len(h) for h in hashed]), np.zeros(3, np.int64)
+            if plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                assert near_dedup.partnered(np.array([1, 2]), own[:2], size[:2], signs[:2], 0.8).all()
+            ruled_out += not near_dedup.partnered(np.array([1, 2]), own[:2], size[[0, 2]], signs[[0, 2]], 0.8).any()
+    assert ruled_out > 240
+
+
 def test_near_dedup_edges(spark):
     out = near_dedup.near_dedup(texts(spark, edge_rows())).collect()
     assert len(out) == len(edge_rows())
