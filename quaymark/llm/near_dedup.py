@@ -347,6 +347,7 @@ def by_rare_runs(tokens: DataFrame, similarity: float, width: int = 2) -> DataFr
 def mixed(members: DataFrame, label: str) -> DataFrame:
     """The buckets of ``members`` (key, node, label) that hold more than one class, with their
     ``size``; of buckets with the same members (as their combined hashes tell) one."""
+    members = materialize(members, f"{label}-members")  # made once, read twice
     alike = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("z")]
     several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *alike).filter("low < high")
     # written, so that Spark can split a hot bucket in the join with its members
@@ -430,7 +431,7 @@ def partnered(labels: np.ndarray, own: np.ndarray, size: np.ndarray, signs: np.n
     return out
 
 
-def likely(buckets: DataFrame, signs: DataFrame, similarity: float, batch: int = 16384) -> DataFrame:
+def likely(buckets: DataFrame, signs: DataFrame, similarity: float, batch: int = 2048) -> DataFrame:
     """The members (key, own, node, label) of small buckets that have a likely partner there."""
     groups = max(1, buckets.count() // batch)
 
@@ -446,7 +447,7 @@ def likely(buckets: DataFrame, signs: DataFrame, similarity: float, batch: int =
     return dealt.groupBy("group").applyInPandas(keep, "key long, own long, node long, label long")
 
 
-def solve(buckets: DataFrame, words: DataFrame, similarity: float, batch: int = 4096) -> DataFrame:
+def solve(buckets: DataFrame, words: DataFrame, similarity: float, batch: int = 512) -> DataFrame:
     """(node, leader) links between the classes of the members (key, own, node, label) of small
     buckets; buckets with about ``batch`` members together are one task's group."""
     groups = max(1, buckets.count() // batch)
@@ -537,7 +538,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
     found = materialize(solve(materialize(likely(few(dealt), signs, similarity), "close"), words, similarity), "across")
     large = dealt.filter(F.col("size") > small)
     if not large.isEmpty():
-        met = materialize(likely(blocks(large, 2 * small), signs, similarity, 4096), "met")
+        met = materialize(likely(blocks(large, 2 * small), signs, similarity), "met")
         found = found.unionByName(materialize(solve(met, words, similarity), "across"))
     return maps + classes(found)
 
