@@ -344,33 +344,40 @@ def by_rare_runs(tokens: DataFrame, similarity: float, width: int = 2) -> DataFr
     return tokens.mapInPandas(first, "node long, label long, key long")
 
 
-def mixed(members: DataFrame, label: str) -> DataFrame:
-    """The buckets of ``members`` (key, node, label) that hold more than one class, with their
-    ``size``; of buckets with the same members (as their combined hashes tell) one."""
+def mixed(members: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """``members`` (key, node, label), written, and the buckets (key, size) of them that hold more
+    than one class; of buckets with the same members (as their combined hashes tell) one."""
     members = materialize(members, f"{label}-members")  # made once, read twice
     alike = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("z")]
     several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *alike).filter("low < high")
     # written, so that Spark can split a hot bucket in the join with its members
-    several = materialize(several.groupBy("x", "y", "z", "size", "low", "high").agg(F.min("key").alias("key")).select("key", "size"), f"{label}-keys")
-    return materialize(members.join(several, "key").select("key", "node", "label", "size"), label)
+    return members, materialize(several.groupBy("x", "y", "z", "size", "low", "high").agg(F.min("key").alias("key")).select("key", "size"), f"{label}-keys")
 
 
 def _overlaps(seqs: list[bytes], some: np.ndarray) -> np.ndarray:
-    """Upper bounds of how many words ``some`` of the sequences share with each, counted with
-    repeats: frequent words are counted for each pair, rarer ones for each sequence."""
+    """How many words ``some`` of the sequences share with each, counted with repeats: frequent
+    words by products of matrices, rarer ones by the few pairs of sequences that hold them."""
     kinds = [labelled(np.frombuffer(x, np.uint32).astype(np.uint64), 1) for x in seqs]
     kinds = [x[: len(raw) // 4] for x, raw in zip(kinds, seqs, strict=True)]
     _, place, often = np.unique(np.concatenate(kinds), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(kinds)), [len(x) for x in kinds])
     frequent = (often > 1) & (32 * often >= len(seqs))
-    rare = np.bincount(row[((often > 1) & ~frequent)[place]], minlength=len(kinds)).astype(np.float32)
-    out = np.minimum(rare[some][:, None], rare[None, :])
+    out = np.zeros((len(some), len(kinds)), np.float32)
     use, column, width = frequent[place], (np.cumsum(frequent) - 1)[place], int(frequent.sum())
     for at in range(0, width, 8192):  # some columns at a time bound the memory
         here = use & (column >= at) & (column < at + 8192)
         part = np.zeros((len(kinds), min(8192, width - at)), np.float32)
         part[row[here], column[here] - at] = 1
         out += part[some] @ part.T
+    rare = np.flatnonzero(((often > 1) & ~frequent)[place])
+    rare = rare[np.argsort(place[rare], kind="stable")]
+    word, holder, line = place[rare], row[rare], np.full(len(kinds), -1)
+    line[some] = np.arange(len(some))
+    for far in range(1, int(often[~frequent].max(initial=1))):  # a word's holders stand together, so its pairs are so far apart
+        at = np.flatnonzero(word[far:] == word[:-far])
+        for a, b in ((holder[at], holder[at + far]), (holder[at + far], holder[at])):
+            here = line[a] >= 0
+            np.add.at(out.reshape(-1), line[a[here]] * len(kinds) + b[here], np.float32(1))
     return out
 
 
@@ -431,9 +438,9 @@ def partnered(labels: np.ndarray, own: np.ndarray, size: np.ndarray, signs: np.n
     return out
 
 
-def likely(buckets: DataFrame, signs: DataFrame, similarity: float, batch: int = 2048) -> DataFrame:
-    """The members (key, own, node, label) of small buckets that have a likely partner there."""
-    groups = max(1, buckets.count() // batch)
+def likely(buckets: DataFrame, signs: DataFrame, similarity: float, rows: int, batch: int = 2048) -> DataFrame:
+    """The members (key, own, node, label), ``rows`` in all, of small buckets that have a likely partner there."""
+    groups = max(1, rows // batch)
 
     def keep(f: pd.DataFrame) -> pd.DataFrame:
         label, own, size = (f[c].to_numpy(np.int64) for c in ("label", "own", "n"))
@@ -508,12 +515,20 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
     if not pairs.isEmpty():
         words = texts(pairs.select("node").union(pairs.select("leader")), "involved")
         maps = classes(materialize(verify(pairs, words, similarity), "found"))
-    rest = mixed(relabelled(asked.select("key", "node").distinct(), maps), "rest")
-    if rest.isEmpty():
+    rest, keys_rest = mixed(relabelled(asked.select("key", "node").distinct(), maps), "rest")
+    if keys_rest.isEmpty():
         return maps
-    few = lambda x: x.filter(F.col("size") <= small).withColumn("own", F.lit(0).cast("long"))
-    close = materialize(likely(few(rest), signs, similarity), "close")
-    crowd = materialize(rest.filter(F.col("size") > small).select("node").distinct(), "crowd")
+
+    def near(held: DataFrame, keys: DataFrame) -> DataFrame:
+        keys = keys.filter(F.col("size") <= small)
+        rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        few = held.join(keys.select("key"), "key").withColumn("own", F.lit(0).cast("long"))
+        return materialize(likely(few, signs, similarity, rows), "close")
+
+    close = near(rest, keys_rest)
+    # of large buckets only the nodes are asked for, each once; their keys are few and written apart, so that Spark can broadcast them
+    hot = materialize(keys_rest.filter(F.col("size") > small).select("key"), "hot-keys")
+    crowd = materialize(rest.join(hot, "key", "left_semi").select("node").distinct(), "crowd")
     wanted = close.select("node").union(crowd)
     if wanted.isEmpty():
         return maps
@@ -534,11 +549,12 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float =
     again = words.join(large, "node").select("node", "label", "words").mapInPandas(keys, "node long, label long, keys array<long>")
     tiny = materialize(short.join(large, "node").dropDuplicates(["node"]), "crowded")
     rare = by_rare_runs(tiny, similarity)
-    dealt = mixed(again.select("node", "label", F.explode("keys").alias("key")).unionByName(rare), "dealt")
-    found = materialize(solve(materialize(likely(few(dealt), signs, similarity), "close"), words, similarity), "across")
-    large = dealt.filter(F.col("size") > small)
-    if not large.isEmpty():
-        met = materialize(likely(blocks(large, 2 * small), signs, similarity), "met")
+    dealt, keys_dealt = mixed(again.select("node", "label", F.explode("keys").alias("key")).unionByName(rare), "dealt")
+    found = materialize(solve(near(dealt, keys_dealt), words, similarity), "across")
+    over = keys_dealt.filter(F.col("size") > small).select("key")
+    if not over.isEmpty():
+        large = materialize(blocks(materialize(dealt.join(over, "key"), "over"), 2 * small), "meeting")
+        met = materialize(likely(large, signs, similarity, large.count()), "met")
         found = found.unionByName(materialize(solve(met, words, similarity), "across"))
     return maps + classes(found)
 

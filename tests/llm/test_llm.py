@@ -300,6 +300,43 @@ def test_near_dedup_signs_rule_out_no_match():
     assert ruled_out > 240
 
 
+def test_near_dedup_aligns_no_texts_that_share_too_few_rare_words(monkeypatch):
+    rng = random.Random(11)
+    # every word is in two or three of the texts, but no two texts share many
+    texts_of = [[] for _ in range(200)]
+    for word in range(4000):
+        for t in rng.sample(range(200), rng.choice((2, 3))):
+            texts_of[t] += [word] * rng.choice((1, 1, 2))
+    texts_of[7] = texts_of[3][:-2] + [9999, 9999]
+    seqs = [np.array(x, np.uint32).tobytes() for x in texts_of]
+    some = np.array([0, 3, 7, 50, 199])
+    shared = [[sum((Counter(texts_of[a]) & Counter(x)).values()) for x in texts_of] for a in some]
+    got = near_dedup._overlaps(seqs, some)
+    kept = np.arange(200)[None, :] != some[:, None]
+    assert (got == np.array(shared))[kept].all()
+    aligned = []
+    alike = near_dedup._alike
+    monkeypatch.setattr(near_dedup, "_alike", lambda a, b, most: aligned.append(1) or alike(a, b, most))
+    assert near_dedup.linked(list(range(200)), [0] * 200, seqs, 0.8) == [(3, 7)] and len(aligned) == 1
+
+
+def test_near_dedup_takes_the_nodes_of_large_buckets_once(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(f"p{j}" for j in range(45))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(35)), "") for i in range(60)]
+    written = Counter()
+
+    def counted(df, label):
+        out = common.materialize(df, label)
+        written[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    labels, _ = found_classes(spark, rows, sketches=near_dedup.SKETCHES, small=8)
+    assert len(set(labels.values())) == 60
+    assert written["hot-keys"] and 0 < written["crowd"] <= 60 and not written["rest"]
+
+
 def test_near_dedup_edges(spark):
     out = near_dedup.near_dedup(texts(spark, edge_rows())).collect()
     assert len(out) == len(edge_rows())
